@@ -46,6 +46,16 @@ def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffle files of work whose results have been written: it does so when its driver collects garbage."""
+    import gc
+    import time
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    time.sleep(0.5)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """Columns of a whole input table."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")

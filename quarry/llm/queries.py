@@ -15,14 +15,26 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(spark, common.table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substrings import without_repeats
+
+    return without_repeats(spark, common.table(spark, sf_dir, "documents", "doc_id", "text")).drop("kept_text")
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_files import token_file_round_trip
 
     return token_file_round_trip(spark, common.table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import near_duplicates
+
+    return near_duplicates(spark, common.table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op3_token_files)}
+    return {f.__name__: f for f in (op1_packing, op2_substring_dedup, op3_token_files, op5_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
