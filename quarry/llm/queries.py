@@ -33,8 +33,15 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark, common.table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import toxicity
+
+    documents = common.table(spark, sf_dir, "documents", "doc_id", "text")
+    return toxicity(spark, documents, common.table(spark, sf_dir, "labels", "doc_id", "toxic"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_substring_dedup, op3_token_files, op5_simhash)}
+    return {f.__name__: f for f in (op1_packing, op2_substring_dedup, op3_token_files, op5_simhash, op6_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
