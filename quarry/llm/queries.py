@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import common
 
@@ -27,6 +28,13 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file_round_trip(spark, common.table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mixed
+
+    out = mixed(spark, common.table(spark, sf_dir, "documents", "doc_id", "text", "source", "lang"))
+    return out.withColumn("rate", F.round("rate", 9))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_duplicates
 
@@ -40,8 +48,20 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(spark, documents, common.table(spark, sf_dir, "labels", "doc_id", "toxic"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import judged
+
+    return judged(spark, common.table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
+
+
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import scan
+
+    return scan(common.table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_substring_dedup, op3_token_files, op5_simhash, op6_toxicity)}
+    return {f.__name__: f for f in (op1_packing, op2_substring_dedup, op3_token_files, op4_mixing, op5_simhash, op6_toxicity, op7_quality, op10_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
