@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 BLOCK_MEMBERS = 2048
 
 
-def blocked(members: DataFrame, key: str, member: Column, block: int = BLOCK_MEMBERS) -> DataFrame:
-    """Members of buckets that hold two or more, with the pair of blocks (b1, b2) in which they are compared.
+def blocked(members: DataFrame, key: str, member: Column, block: int = BLOCK_MEMBERS, attach: DataFrame | None = None, on: str | None = None) -> DataFrame:
+    """Members of buckets that hold two or more, with the pair of blocks (b1, b2) in which they are compared, and their own block.
+
+    ``attach``: a table joined on ``on`` to the members that remain, for columns too wide to deal out with every key.
 
     A bucket of at most ``block`` members is one block. Of a larger one, n = ceil(size / block) blocks are
     made by a hash of the member, and a member goes to the n block pairs that hold its own block. Rows are
@@ -22,7 +24,9 @@ def blocked(members: DataFrame, key: str, member: Column, block: int = BLOCK_MEM
     n = F.ceil(F.col("_n") / F.lit(block)).cast("int")
     own = F.pmod(F.xxhash64(member), n.cast("long")).cast("int")
     out = members.join(sizes, key).select(*members.columns, own.alias("_own"), F.explode(F.sequence(F.lit(0), n - 1)).alias("_other"))
-    out = out.select(*members.columns, F.least("_own", "_other").alias("b1"), F.greatest("_own", "_other").alias("b2"))
+    out = out.select(*members.columns, F.least("_own", "_other").alias("b1"), F.greatest("_own", "_other").alias("b2"), F.col("_own").alias("own"))
+    if attach is not None:
+        out = out.join(attach, on)
     return out.repartition(key, "b1", "b2").sortWithinPartitions(key, "b1", "b2")
 
 

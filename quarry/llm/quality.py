@@ -24,7 +24,7 @@ GUARD_WORDS = 50
 #: A document fails beyond MAX_CHARACTER, or beyond both JOINT bounds: a short text's words may stray by chance, and
 #: a clean one's numbers or links move its characters, but seldom both.
 MAX_CHARACTER_DIVERGENCE = 0.09
-JOINT_CHARACTER_DIVERGENCE, JOINT_WORD_DIVERGENCE = 0.018, 0.07
+JOINT_CHARACTER_DIVERGENCE, JOINT_WORD_DIVERGENCE = 0.02, 0.072
 #: What each character class leaves when all else is taken away.
 CLASSES = {
     "lower": "[^a-z]+",
