@@ -85,20 +85,41 @@ def raked(spark: SparkSession, cells: DataFrame, targets: dict[str, DataFrame])
     return fitted
 
 
+def rates_of(spark: SparkSession, docs: DataFrame, targets: dict[str, DataFrame] | None = None, temper: float = TEMPER) -> DataFrame:
+    """Cells of (source, lang, topic, tokens) rows with their rate."""
+    cells = written(spark, docs.groupBy(*MARGINALS).agg(F.sum("tokens").alias("tokens")), "cells")
+    wanted = {c: (targets or {}).get(c, None) for c in MARGINALS}
+    wanted = {c: t if t is not None else tempered(cells, c, temper) for c, t in wanted.items()}
+    total = float(cells.agg(F.sum("tokens")).first()[0] or 0)
+    fitted = raked(spark, cells, wanted)
+    return fitted.select(*MARGINALS, F.when(F.col("tokens") > 0, F.col("weight") * F.lit(total) / F.col("tokens")).otherwise(F.lit(1.0)).alias("rate"))
+
+
+def copies(rate: Column, doc_id: Column, seed: int = SEED) -> Column:
+    """Whole part of the rate, and one more with the chance of the rest, by a hash of the id."""
+    draw = F.shiftrightunsigned(F.xxhash64(doc_id, F.lit(seed)), 11) / F.lit(float(1 << 53))
+    return (F.floor(rate) + F.when(draw < rate - F.floor(rate), 1).otherwise(0)).cast("long")
+
+
 def mixed(spark: SparkSession, documents: DataFrame, targets: dict[str, DataFrame] | None = None, temper: float = TEMPER, seed: int = SEED) -> DataFrame:
     """doc_id, source, lang, topic, tokens, rate and copies of every document.
 
     ``targets``: for some of source, lang and topic a table (column, target_<column>) of shares that sum to 1.
     """
     docs = written(spark, cells_of(documents), "tokens")
-    cells = written(spark, docs.groupBy(*MARGINALS).agg(F.sum("tokens").alias("tokens")), "cells")
-    wanted = {c: (targets or {}).get(c, None) for c in MARGINALS}
-    wanted = {c: t if t is not None else tempered(cells, c, temper) for c, t in wanted.items()}
-    total = float(cells.agg(F.sum("tokens")).first()[0] or 0)
-    fitted = raked(spark, cells, wanted)
-    rates = fitted.select(*MARGINALS, F.when(F.col("tokens") > 0, F.col("weight") * F.lit(total) / F.col("tokens")).otherwise(F.lit(1.0)).alias("rate"))
-    draw = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed)), 11) / F.lit(float(1 << 53))
-    whole = F.floor("rate")
-    out = docs.join(rates, list(MARGINALS)).withColumn("copies", (whole + F.when(draw < F.col("rate") - whole, 1).otherwise(0)).cast("long"))
+    out = docs.join(rates_of(spark, docs, targets, temper), list(MARGINALS)).withColumn("copies", copies(F.col("rate"), F.col("doc_id"), seed))
     back = {c: F.when(F.col(c) != _NULL, F.col(c)) for c in ("source", "lang")}
     return out.withColumns(back).select("doc_id", *MARGINALS, "tokens", "rate", "copies")
+
+
+def sampled(spark: SparkSession, documents: DataFrame, targets: dict[str, DataFrame] | None = None, temper: float = TEMPER, seed: int = SEED) -> DataFrame:
+    """The documents that ``mixed`` gives one copy or more, each once, with their own columns.
+
+    The rates go to the documents, so the texts are not shuffled while the cells are few.
+    """
+    rates = rates_of(spark, cells_of(documents).drop("doc_id"), targets, temper)
+    rates = rates.select(*(F.col(c).alias(f"_q_{c}") for c in MARGINALS), F.col("rate").alias("_q_rate"))
+    n_words = F.size(words(text_or_empty())).cast("long")
+    docs = documents.withColumns({"_q_source": F.coalesce("source", F.lit(_NULL)), "_q_lang": F.coalesce("lang", F.lit(_NULL)), "_q_topic": topic(text_or_empty(), n_words)})
+    kept = docs.join(rates, [f"_q_{c}" for c in MARGINALS]).where(copies(F.col("_q_rate"), F.col("doc_id").cast("long"), seed) > 0)
+    return kept.select(*(F.col(f"`{c}`") for c in documents.columns))

@@ -60,6 +60,12 @@ def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked_vectors(spark, common.table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
 
 
+def op9_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .extraction import extracted
+
+    return extracted(common.table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secrets import scan
 
@@ -67,7 +73,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_substring_dedup, op3_token_files, op4_mixing, op5_simhash, op6_toxicity, op7_quality, op8_embeddings, op10_secrets)}
+    return {f.__name__: f for f in (op1_packing, op2_substring_dedup, op3_token_files, op4_mixing, op5_simhash, op6_toxicity, op7_quality, op8_embeddings, op9_extraction, op10_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -19,6 +19,7 @@ from itertools import repeat
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import text_or_empty, written
@@ -134,3 +135,13 @@ def near_duplicates(spark: SparkSession, documents: DataFrame, width: int = 3, m
     groups = connected_components(spark, fingerprint_links(classes, max_bits))
     named = classes.join(groups, classes["rep"] == groups["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     return fps.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def without_near_duplicates(spark: SparkSession, documents: DataFrame, width: int = 3, max_bits: int = MAX_BITS) -> DataFrame:
+    """The documents with one row of each near-duplicate group, that of its smallest id; rows without an id all stay."""
+    found = near_duplicates(spark, documents, width, max_bits)
+    first = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_q_first")).distinct()
+    kept = documents.join(first, F.col("doc_id") == F.col("_q_first"), "left_semi")
+    order = W.partitionBy("doc_id").orderBy(F.xxhash64("text"))
+    kept = kept.withColumn("_q_row", F.row_number().over(order)).where("_q_row = 1").drop("_q_row")
+    return kept.unionByName(documents.where("doc_id is null"))
