@@ -1 +1,8 @@
-"""A PySpark-native analytics engine."""
+"""A PySpark-native analytics engine: fluent queries, a function registry and a table store."""
+
+from .functions import FunctionRegistry, registry
+from .operators import Query, query, query_project
+from .schema import CheckConstraint, ColumnDef, ForeignKey, TableSchema
+from .sources import MemoryCatalog, TableStore, table
+
+__all__ = ["CheckConstraint", "ColumnDef", "ForeignKey", "FunctionRegistry", "MemoryCatalog", "Query", "TableSchema", "TableStore", "query", "query_project", "registry", "table"]

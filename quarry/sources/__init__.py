@@ -1,0 +1,12 @@
+"""Sources and sinks: the table store, and Parquet tables of a folder."""
+
+from pyspark.sql import DataFrame, SparkSession
+
+from .store import MemoryCatalog, TableStore
+
+__all__ = ["MemoryCatalog", "TableStore", "table"]
+
+
+def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A Parquet table of a folder, read lazily: filters and columns reach its scan."""
+    return spark.read.parquet(f"{folder}/{name}.parquet")

@@ -1,0 +1 @@
+"""Streams. The query surface has none; queries here also run over streaming DataFrames where Spark lets them."""
