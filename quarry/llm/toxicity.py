@@ -59,8 +59,8 @@ def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
         for k in range(n):
             h = (h ^ data[at + k]) * np.uint32(0x01000193)
             h ^= h >> np.uint32(15)
-        rows.append((h & np.uint32(CHAR_ROWS - 1)).astype(np.int64))
-        owners.append(owner[at])
+        rows.append((h & np.uint32(CHAR_ROWS - 1)).astype(np.int32))
+        owners.append(owner[at].astype(np.int32))
     rows, owners = np.concatenate(rows), np.concatenate(owners)
     order = np.argsort(owners, kind="stable")
     return word, rows[order], owners[order]
@@ -96,8 +96,11 @@ class Network:
         out[:-1, :WORD_DIM] = self.words[word]
         if len(rows):
             starts = np.nonzero(np.r_[True, owners[1:] != owners[:-1]])[0]
-            sums = np.add.reduceat(self.chars[rows], starts, axis=0)
-            out[owners[starts], WORD_DIM:] = sums / np.diff(np.append(starts, len(rows)))[:, None].astype(np.float32)
+            ends = np.append(starts[1:], len(rows))
+            for k in range(0, len(starts), 20_000):
+                a, b = starts[k : k + 20_000], ends[k : k + 20_000]
+                sums = np.add.reduceat(self.chars[rows[a[0] : b[-1]]], a - a[0], axis=0)
+                out[owners[a], WORD_DIM:] = sums / (b - a)[:, None].astype(np.float32)
         return out
 
     def _pass(self, x, ids, direction, keep=False):
@@ -186,15 +189,13 @@ def window_ids(ids: np.ndarray, sizes: np.ndarray, starts: np.ndarray, text: np.
     return np.where(real, ids[np.minimum(place, max(0, len(ids) - 1))] if len(ids) else padding, padding), real
 
 
-def best_windows(network: Network, lists: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def best_windows(network: Network, types: list[str], ids: np.ndarray, sizes: np.ndarray, features=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of each text: its greatest window logit, the sum of its windows' probabilities, and the first word of that window."""
-    sizes = np.array([len(w) for w in lists], dtype=np.int64)
-    types, ids = distinct(lists)
-    best, at = np.full(len(lists), NO_EVIDENCE), np.zeros(len(lists), dtype=np.int64)
+    best, at = np.full(len(sizes), NO_EVIDENCE), np.zeros(len(sizes), dtype=np.int64)
     starts, text = windows_of(sizes)
     if not len(starts):
-        return best, np.zeros(len(lists)), at
-    x = network.inputs(*word_features(types))
+        return best, np.zeros(len(sizes)), at
+    x = network.inputs(*(features or word_features(types)))
     logits = np.empty(len(starts))
     for k in range(0, len(starts), LOT_WINDOWS):
         part = slice(k, k + LOT_WINDOWS)
@@ -202,7 +203,7 @@ def best_windows(network: Network, lists: list[list[str]]) -> tuple[np.ndarray,
     order = np.lexsort((-logits, text))
     lead = order[np.r_[True, text[order][1:] != text[order][:-1]]]
     best[text[lead]], at[text[lead]] = logits[lead], starts[lead]
-    return best, np.bincount(text, weights=1 / (1 + np.exp(-np.clip(logits, -30, 30))), minlength=len(lists)), at
+    return best, np.bincount(text, weights=1 / (1 + np.exp(-np.clip(logits, -30, 30))), minlength=len(sizes)), at
 
 
 def scores(network: Network, texts) -> np.ndarray:
@@ -210,7 +211,8 @@ def scores(network: Network, texts) -> np.ndarray:
     out, held, size = [], [], 0
 
     def flush():
-        best, count, _ = best_windows(network, held)
+        sizes = np.array([len(w) for w in held], dtype=np.int64)
+        best, count, _ = best_windows(network, *distinct(held), sizes)
         a, b, c = network.calibration
         out.append(1 / (1 + np.exp(-np.clip(a * best + b * np.log1p(count) + c, -30, 30))))
 
@@ -225,22 +227,21 @@ def scores(network: Network, texts) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0)
 
 
-def _telling(types: list[str], ids, sizes, y) -> np.ndarray:
+def _telling(features, ids, sizes, y, types: int) -> np.ndarray:
     """A first guess of each word's weight: the greatest log odds among its n-grams by texts that hold them."""
-    _, rows, owners = word_features(types)
-    text = np.repeat(np.arange(len(sizes)), sizes)
-    pair = np.unique(text * np.int64(len(types)) + ids)
-    text, word = pair // len(types), pair % len(types)
-    start = np.searchsorted(owners, np.arange(len(types) + 1))
-    count = start[word + 1] - start[word]
-    which = np.repeat(start[word] - np.cumsum(count) + count, count) + np.arange(count.sum())
-    both = np.unique(np.repeat(text, count) * np.int64(CHAR_ROWS) + rows[which])
-    text, row = both // CHAR_ROWS, both % CHAR_ROWS
-    hit = np.bincount(row, weights=y[text], minlength=CHAR_ROWS)
-    miss = np.bincount(row, weights=1 - y[text], minlength=CHAR_ROWS)
+    _, rows, owners = features
+    start = np.searchsorted(owners, np.arange(types + 1))
+    counts = np.zeros((2, CHAR_ROWS))
+    ends = np.cumsum(sizes)
+    for k, (first, end) in enumerate(zip(ends - sizes, ends)):
+        word = np.unique(ids[first:end])
+        n = start[word + 1] - start[word]
+        which = np.repeat(start[word] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        counts[int(y[k]), np.unique(rows[which])] += 1
+    miss, hit = counts
     odds = np.log((hit + 0.5) / (y.sum() + 1)) - np.log((miss + 0.5) / ((1 - y).sum() + 1))
     odds *= hit + miss >= 5
-    out = np.zeros(len(types))
+    out = np.zeros(types)
     np.maximum.at(out, owners, odds[rows])
     return out
 
@@ -248,19 +249,24 @@ def _telling(types: list[str], ids, sizes, y) -> np.ndarray:
 def train(texts: list[str], labels: list[int], prior: float | None = None, seed: int = 7) -> Network:
     """Fits a network to labelled texts; ``prior``: share of toxic texts where the sample's differs."""
     rng, network = np.random.default_rng(seed), Network(seed)
-    lists, y = [words_of(t) for t in texts], np.asarray(labels, dtype=np.float64)
+    y = np.asarray(labels, dtype=np.float64)
     share = min(max(prior if prior is not None else (y.mean() if len(y) else 0.0), 1e-6), 1 - 1e-6)
     if not len(y) or y.min() == y.max():
         network.calibration = np.array([0.0, 0.0, np.log(share / (1 - share))])
         return network
-    sizes = np.array([len(w) for w in lists], dtype=np.int64)
-    types, ids = distinct(lists)
-    word, rows, owners = word_features(types)
+    known: dict[str, int] = {}
+    parts = [np.fromiter((known.setdefault(w, len(known)) for w in words_of(t)), dtype=np.int32) for t in texts]
+    sizes, ids, types = np.array([len(p) for p in parts], dtype=np.int64), np.concatenate(parts), list(known)
+    del parts, known
+    features = word_features(types)
+    word, rows, owners = features
     first_row = np.searchsorted(owners, np.arange(len(types) + 1))
     starts, text = windows_of(sizes)
-    weight = np.append(_telling(types, ids, sizes, y), 0)
-    place, _ = window_ids(ids, sizes, starts, text, len(types))
-    guess = np.sort(weight[place], axis=1)[:, -3:].sum(axis=1) + rng.random(len(starts)) * 1e-3
+    weight = np.append(_telling(features, ids, sizes, y, len(types)), 0)
+    guess = rng.random(len(starts)) * 1e-3
+    for k in range(0, len(starts), LOT_WINDOWS):
+        part = slice(k, k + LOT_WINDOWS)
+        guess[part] += np.sort(weight[window_ids(ids, sizes, starts[part], text[part], len(types))[0]], axis=1)[:, -3:].sum(axis=1)
     order = np.lexsort((-guess, text))
     lead = order[np.r_[True, text[order][1:] != text[order][:-1]]]
     # Clean texts start with two windows, a likely one and any one.
@@ -270,7 +276,7 @@ def train(texts: list[str], labels: list[int], prior: float | None = None, seed:
     word_sq, char_sq, step = np.full(WORD_ROWS, 1e-8, np.float32), np.full(CHAR_ROWS, 1e-8, np.float32), 0
     for k, passes in enumerate(PASSES):
         if k:
-            best, _, at = best_windows(network, lists)
+            best, _, at = best_windows(network, types, ids, sizes, features)
             hard = window_ids(ids, sizes, at[sizes > 0], np.nonzero(sizes > 0)[0], len(types))
             extra = window_ids(ids, sizes, starts[some], text[some], len(types))
             data = [np.concatenate(z) for z in zip(hard, extra)]
@@ -303,7 +309,7 @@ def train(texts: list[str], labels: list[int], prior: float | None = None, seed:
                     np.add.at(total, back, grad)
                     squares[spots] += (total**2).mean(axis=1)
                     table[spots] -= TABLE_RATE * total / np.sqrt(squares[spots])[:, None]
-    best, count, _ = best_windows(network, lists)
+    best, count, _ = best_windows(network, types, ids, sizes, features)
     _calibrate(network, best, count, y, share)
     return network
 
