@@ -51,9 +51,10 @@ def release(spark: SparkSession) -> None:
     import gc
     import time
 
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    time.sleep(0.5)
+    for _ in range(3):  # what the first finds unused, the next finds collected
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.7)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
