@@ -51,7 +51,8 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import judged
 
-    return judged(spark, common.table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
+    out = judged(spark, common.table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
+    return out.withColumns({c: F.round(c, 6) for c in ("character_divergence", "word_divergence")})
 
 
 def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,4 +78,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Op 2, 7 and 8; the others rest on a tokenizer, XXH64, trained models or zstandard and are tested against brute force."""
+    from . import oracles
+
+    return {"op2_substring_dedup": oracles.OP2, "op7_quality": oracles.OP7, "op8_embeddings": oracles.OP8}

@@ -161,9 +161,20 @@ class TokenFileReader:
         return decode_chunk(self.file.read_at(end - int(self.chunks[k]), int(self.chunks[k])))
 
     def block(self, k: int) -> np.ndarray:
-        """Block ``k`` alone: its chunk's head, its packed part and its exceptions."""
-        start = int(self.chunks[k // CHUNK_BLOCKS])
-        return self.chunk(k // CHUNK_BLOCKS)[k % CHUNK_BLOCKS * BLOCK :][:BLOCK] if start else np.zeros(0, "<u4")
+        """Block ``k`` alone: its chunk's head, then its packed part, which the index places, and its exceptions."""
+        start, j = int(self.chunks[k // CHUNK_BLOCKS]), k % CHUNK_BLOCKS
+        blocks, n = struct.unpack("<II", self.file.read_at(8, start))
+        head = self.file.read_at(7 * blocks, start + 8)
+        low, width = np.frombuffer(head, "<u4", blocks), np.frombuffer(head, np.uint8, blocks, 4 * blocks)
+        patched = np.frombuffer(head, "<u2", blocks, 5 * blocks).astype(np.int64)
+        w, size = int(width[j]), int(width[j]) * (BLOCK // 8)
+        bits = np.unpackbits(np.frombuffer(self.file.read_at(size, int(self.blocks[k])), np.uint8), bitorder="little")
+        out = bits.reshape(BLOCK, w).astype(np.uint64) @ (np.uint64(1) << np.arange(w, dtype=np.uint64)) if w else np.zeros(BLOCK, np.uint64)
+        places = start + 8 + 7 * blocks + int(width.sum(dtype=np.int64)) * (BLOCK // 8)
+        first, count = int(patched[:j].sum()), int(patched[j])
+        values = places + int(patched.sum()) + 4 * first
+        out[np.frombuffer(self.file.read_at(count, places + first), np.uint8)] = np.frombuffer(self.file.read_at(4 * count, values), "<u4")
+        return (out + low[j])[: n - j * BLOCK].astype(np.uint32)
 
     def documents(self):
         held, k = np.zeros(0, dtype=np.uint32), 0

@@ -138,6 +138,23 @@ def test_blocks_round_trip(high):
         assert (token_files.decode_chunk(data) == ids).all() and len(places) == -(-n // token_files.BLOCK)
 
 
+def test_blocks_are_read_alone(tmp_path):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(7)
+    ids = [rng.integers(0, 49408, n).astype("<u4") for n in (3, 200_000, 0, 70_001)]
+    path = str(tmp_path / "t.qpf")
+    writer = token_files.TokenFileWriter(pa.OSFile(path, "wb"))
+    for k, x in enumerate(ids):
+        writer.add(k, x.tobytes())
+    writer.close()
+    reader, whole = token_files.TokenFileReader(pa.OSFile(path)), np.concatenate(ids)
+    assert [(i, x.tolist()) for i, x in reader.documents()] == [(k, x.tolist()) for k, x in enumerate(ids)]
+    size = token_files.BLOCK
+    for k in (0, 1, 511, 512, 700, len(reader.blocks) - 1):
+        assert (reader.block(k) == whole[k * size : (k + 1) * size]).all()
+
+
 # Substring dedup
 
 
@@ -400,6 +417,18 @@ def test_whole_tables_through_the_queries(spark):
         assert queries.queries()[name](spark, SF).count() == n
 
 
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_query_equals_its_sql(spark, name):
+    c = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        c.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
+    df, want = queries.queries()[name](spark, SF), c.sql(queries.oracle_sql()[name])
+    names = sorted(df.columns)
+    assert names == sorted(want.columns)
+    places = [want.columns.index(n) for n in names]
+    assert sorted((tuple(r[n] for n in names) for r in df.collect()), key=repr) == sorted((tuple(r[p] for p in places) for r in want.fetchall()), key=repr)
+
+
 def test_pipeline(spark):
     import corpus_pipeline as pipeline
 
