@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -79,11 +80,12 @@ def percentile_cont(p: float = 0.5) -> Callable:
 
 
 def percentile_disc(p: float = 0.5) -> Callable:
+    """The value at place ceil(n p), of all values in order. ``x``: a column by name, as queries give it."""
+
     def build(x, kind, order=None):
-        """The value at place ceil(n p), of all values in order."""
-        values = F.array_sort(F.collect_list(_number(x, kind, "percentile_disc").cast("double")))
-        at = F.least(F.greatest(F.ceil(F.size(values) * F.lit(_share(p))), F.lit(1)), F.size(values).cast("long")).cast("int")
-        return F.when(F.size(values) > 0, F.get(values, at - 1))
+        _number(x, kind, "percentile_disc")
+        name = re.fullmatch(r"Column<'(.*)'>", str(x))[1]
+        return F.expr(f"cast(percentile_disc({_share(p)}D) within group (order by cast({name} as double)) as double)")
 
     return build
 

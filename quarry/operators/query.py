@@ -87,7 +87,8 @@ class Query:
 
     def aggregate(self, f: Callable, expression: Column | str, name: str = "value") -> DataFrame:
         """One row: an aggregate (a builder of a Column) of an expression over this query's rows."""
-        df, x = self.execute(), _column(expression)
+        df = self.execute().withColumn("_q_x", _column(expression))
+        x = F.col("_q_x")
         return df.agg(f(x, type_in(df, x), F.col(ROW_INDEX) if ROW_INDEX in df.columns else None).alias(name))
 
     def aggregate_by_name(self, function: str, expression: Column | str, name: str = "value") -> DataFrame:
@@ -103,10 +104,11 @@ class Query:
         if not aggregates:
             return df.groupBy(*columns).agg(F.collect_list(F.struct(*df.columns)).alias("rows"))
         order = F.col(ROW_INDEX) if ROW_INDEX in df.columns else None
+        df = df.withColumns({f"_q_x{k}": _column(a[1]) for k, a in enumerate(aggregates.values())})
         out = []
-        for name, (function, expression, *rest) in aggregates.items():
+        for k, (name, (function, _, *rest)) in enumerate(aggregates.items()):
             build = registry().get_aggregate(function) if isinstance(function, str) else function
-            x = _column(expression)
+            x = F.col(f"_q_x{k}")
             out.append(build(x, type_in(df, x), _column(rest[0]) if rest else order).alias(name))
         return df.groupBy(*columns).agg(*out)
 
