@@ -412,7 +412,7 @@ SF = "/root/testdata/sf0.001"
 
 
 def test_whole_tables_through_the_queries(spark):
-    n = duckdb.sql(f"select count(*) from '{SF}/documents.parquet'").fetchone()[0]
+    n = duckdb.sql(f"select count(*) from '{SF}/documents.parquet'").fetchall()[0][0]
     for name in ("op2_substring_dedup", "op3_token_files", "op4_mixing", "op5_simhash", "op7_quality", "op10_secrets"):
         assert queries.queries()[name](spark, SF).count() == n
 
