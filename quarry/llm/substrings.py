@@ -11,7 +11,8 @@ the right half and a last one of the left half. Equal windows have equal cores,
 1. Every window of ``window`` words chooses from its core at the highest level that leaves one the
    symbol with the longest span (ties: least name, then leftmost); a window without one (say, one word
    repeated) chooses from its words. Records hold the symbol's name, its document and place, which windows
-   chose it, and a name of each of these. What repeats within a task is settled there.
+   chose it, and a name of each of these. What repeats within a task is settled there; where the least
+   document holds the same record again, the later places follow the names in its one record.
 2. Records meet by symbol. Windows with the same symbol and name (64 and 48 bits) are equal; those in a
    document with a greater id than the least are marked.
 3. Marks are joined to the documents, and the words that marked windows cover go.
@@ -36,6 +37,8 @@ WINDOW = 13
 ROUNDS = 3
 #: Bytes of a window's name in the records; windows meet only within one symbol's 64-bit name.
 WINDOW_BYTES = 6
+#: Bytes of a later place of a record's windows in the same text.
+PLACE_BYTES = 4
 #: Bits of a text's hash that tell rows with the same doc_id apart.
 TAG_BITS = 16
 #: Words parsed at once.
@@ -209,18 +212,35 @@ def records(documents: DataFrame, window: int = WINDOW) -> DataFrame:
             name, row, pos, mask, spread, count = (np.concatenate(x) for x in zip(*parts))
             found = np.concatenate(found)
             doc_id = np.array([i or 0 for i in ids], dtype=np.int64)[row]
-            # Records with the same name and windows: the least document's stays, greater ones are marked.
-            order = np.lexsort((doc_id, mask, spread, name))
+            # Records with the same name and windows: the least document's stay, greater ones are marked.
+            order = np.lexsort((row, doc_id, mask, spread, name))
             fresh = np.ones(len(order), dtype=bool)
             a, b = order[1:], order[:-1]
             fresh[1:] = (name[a] != name[b]) | (spread[a] != spread[b]) | (mask[a] != mask[b])
             least = doc_id[order[fresh]][np.cumsum(fresh) - 1]
             marked = order[doc_id[order] > least]
-            keeps = np.zeros(len(order), dtype=bool)
-            keeps[order[fresh]] = True
-            keep = np.nonzero(keeps)[0]
-            ends = np.cumsum(count[keep]) * WINDOW_BYTES
-            data = np.ascontiguousarray(found[np.repeat(keeps, count)])
+            # A later place in the same row goes with the row's first record; another document may yet be their source.
+            first = fresh.copy()
+            first[1:] |= row[a] != row[b]
+            at_least = doc_id[order] == least
+            head = order[first][np.cumsum(first) - 1]
+            later = at_least & ~first
+            keep = order[at_least & first]
+            # The records in the order of their names' bytes, each followed by its later places.
+            rank = np.empty(len(order), dtype=np.int64)
+            rank[keep] = np.arange(len(keep))
+            owner = rank[head[later]]
+            more = np.bincount(owner, minlength=len(keep))
+            names_at = np.cumsum(count) - count
+            size = count[keep] * WINDOW_BYTES + more * PLACE_BYTES
+            ends = np.cumsum(size)
+            data = np.zeros(int(ends[-1]) if len(ends) else 0, dtype=np.uint8)
+            nth = np.arange(int(count[keep].sum())) - np.repeat(np.cumsum(count[keep]) - count[keep], count[keep])
+            to = np.repeat(ends - size, count[keep]) + nth * WINDOW_BYTES
+            data[to[:, None] + np.arange(WINDOW_BYTES)] = found[np.repeat(names_at[keep], count[keep]) + nth]
+            nth = np.arange(len(owner)) - (np.cumsum(more) - more)[owner]
+            to = ends[owner] - (more[owner] - nth) * PLACE_BYTES
+            data[to[:, None] + np.arange(PLACE_BYTES)] = pos[order[later]].astype("<i4").view(np.uint8).reshape(-1, PLACE_BYTES)
             offsets = np.concatenate([[0], ends, np.full(len(marked), ends[-1] if len(ends) else 0)]).astype(np.int32)
             both = np.concatenate([keep, marked])
             key = np.concatenate([name[keep], _mixed(doc_id[marked].astype(np.uint64))]).view(np.int64)
@@ -272,7 +292,15 @@ def marks(found: DataFrame, window: int = WINDOW) -> DataFrame:
         doc_id, tagged = table.column("doc_id").to_numpy(), table.column("mask").to_numpy().astype(np.int64)
         out = _marked(table.column("key").to_numpy(), doc_id, tagged & ((1 << window) - 1), offsets, data, window)
         have = np.nonzero(out)[0]
-        place = (table.column("pos").to_numpy().astype(np.int64)[have] << (window + TAG_BITS)) | (tagged[have] >> window << window) | out[have]
+        pos = table.column("pos").to_numpy().astype(np.int64)[have]
+        # Later places of the same windows, behind their names.
+        names = np.bitwise_count(tagged[have] & ((1 << window) - 1)).astype(np.int64) * WINDOW_BYTES
+        more = np.maximum(offsets[have + 1] - offsets[have] - names, 0) // PLACE_BYTES
+        nth = np.arange(int(more.sum())) - np.repeat(np.cumsum(more) - more, more)
+        at = np.repeat(offsets[have] + names, more) + nth * PLACE_BYTES
+        later = data[at[:, None] + np.arange(PLACE_BYTES)].reshape(-1, PLACE_BYTES).view("<i4")[:, 0].astype(np.int64)
+        have, pos = np.concatenate([have, np.repeat(have, more)]), np.concatenate([pos, later])
+        place = (pos << (window + TAG_BITS)) | (tagged[have] >> window << window) | out[have]
         return pa.RecordBatch.from_arrays([pa.array(doc_id[have]), pa.array(place)], names=["doc_id", "place"])
 
     def run(batches):

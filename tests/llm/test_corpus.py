@@ -186,6 +186,19 @@ def test_substrings_of_small_vocabularies(spark):
         assert (got[k]["n_words"], got[k]["n_removed"], got[k]["kept_sha256"]) == want
 
 
+def test_substrings_mark_every_place_of_a_passage(spark):
+    r = random.Random(9)
+    text = lambda n: " ".join("".join(r.choice("abcdefghil") for _ in range(6)) for _ in range(n))
+    passage = text(60)
+    twice = f"{text(20)} {passage} {text(20)} {passage} {text(20)} {passage}"
+    rows = [(3, f"{text(15)} {passage}"), (5, twice), (7, f"{passage} {text(9)}"), (5, f"{passage} {text(5)} {passage}")]
+    want = {(5, 240, 180), (3, 75, 0), (7, 69, 60), (5, 125, 120)}
+    for slices in (1, 2, 4):
+        df = spark.createDataFrame(spark.sparkContext.parallelize(rows, slices), "doc_id long, text string")
+        assert df.rdd.getNumPartitions() == slices
+        assert {(x["doc_id"], x["n_words"], x["n_removed"]) for x in substrings.without_repeats(spark, df).collect()} == want
+
+
 def test_substrings_without_id_stay(spark):
     t = " ".join(map(str, range(40)))
     got = substrings.without_repeats(spark, made(spark, [t, t, t], [1, 2, None])).collect()
