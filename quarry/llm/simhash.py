@@ -137,6 +137,20 @@ def near_duplicates(spark: SparkSession, documents: DataFrame, width: int = 3, m
     return fps.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def first_of_groups(documents: DataFrame, rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """The documents with one row of each group, the least by id and then by its text's hash; rows without an id all stay.
+
+    rows: doc_id, digest (``xxhash64`` of the text) and node of every row with an id; groups: node and component of the linked nodes.
+    """
+    least = rows.groupBy("node").agg(F.min(F.struct("doc_id", "digest")).alias("row")).join(groups, "node", "left")
+    first = least.groupBy(F.coalesce("component", "node")).agg(F.min("row").alias("row")).select(F.col("row.doc_id").alias("_q_first"), F.col("row.digest").alias("_q_digest"))
+    named = documents.withColumn("_q_text", F.xxhash64("text"))
+    kept = named.join(first, (F.col("doc_id") == F.col("_q_first")) & (F.col("_q_text") == F.col("_q_digest")), "left_semi")
+    order = W.partitionBy("doc_id", "_q_text").orderBy("_q_text")
+    kept = kept.withColumn("_q_row", F.row_number().over(order)).where("_q_row = 1").drop("_q_row", "_q_text")
+    return kept.unionByName(documents.where("doc_id is null"))
+
+
 def without_near_duplicates(spark: SparkSession, documents: DataFrame, width: int = 3, max_bits: int = MAX_BITS) -> DataFrame:
     """The documents with one row of each near-duplicate group, that of its smallest id; rows without an id all stay."""
     found = near_duplicates(spark, documents, width, max_bits)

@@ -10,7 +10,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from quarry.llm import common, components, embeddings, encoding, extraction, golay, grouping, mixing, packing, quality, queries, secrets, simhash, substrings, token_files, toxicity
+from quarry.llm import common, components, embeddings, encoding, extraction, golay, grouping, mixing, packing, quality, queries, secrets, simhash, similar, substrings, token_files, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -267,6 +267,34 @@ def test_simhash(spark, texts, docs, monkeypatch):
     assert simhash.near_duplicates(spark, empty(spark)).count() == 0
 
 
+def test_pipeline_drops_similar_texts(spark, monkeypatch):
+    import corpus_pipeline
+
+    monkeypatch.setattr(similar, "BLOCK", 8)
+    r = random.Random(12)
+    word = lambda: "".join(r.choice("abcdefghil") for _ in range(6))
+    texts = []
+    for _ in range(12):
+        base = [word() for _ in range(200)]
+        texts.append(" ".join(base))
+        for changes in (1, 2, 3, 4, 12):
+            w = list(base)
+            for at in r.sample(range(20, 180), changes):
+                w[at] = word()
+            texts.append(" ".join(w))
+    texts += [texts[0].upper(), "", "a b", "A  b", None]
+    sets = [set(map(int, similar.shingles(t or ""))) for t in texts]
+    alike = lambda a, b: a == b or len(a & b) >= 0.8 * len(a | b)
+    label = list(range(len(texts)))
+    for k in range(len(texts)):
+        for j in range(k):
+            if alike(sets[k], sets[j]) and label[k] != label[j]:
+                label = [min(label[k], label[j]) if x in (label[k], label[j]) else x for x in label]
+    assert 12 < len(set(label)) < 60
+    kept = corpus_pipeline.drop_near_duplicates(spark, made(spark, texts), "")
+    assert sorted(x["doc_id"] for x in kept.collect()) == sorted(set(label))
+
+
 def test_blocked_buckets_link_alike(spark):
     rng = np.random.default_rng(4)
     base = int(rng.integers(0, 1 << 62))
