@@ -113,7 +113,7 @@ def mixed(spark: SparkSession, documents: DataFrame, targets: dict[str, DataFram
 
 
 def sampled(spark: SparkSession, documents: DataFrame, targets: dict[str, DataFrame] | None = None, temper: float = TEMPER, seed: int = SEED) -> DataFrame:
-    """The documents that ``mixed`` gives one copy or more, each once, with their own columns.
+    """The documents with their own columns, each in as many rows as ``mixed`` gives it copies.
 
     The rates go to the documents, so the texts are not shuffled while the cells are few.
     """
@@ -121,5 +121,7 @@ def sampled(spark: SparkSession, documents: DataFrame, targets: dict[str, DataFr
     rates = rates.select(*(F.col(c).alias(f"_q_{c}") for c in MARGINALS), F.col("rate").alias("_q_rate"))
     n_words = F.size(words(text_or_empty())).cast("long")
     docs = documents.withColumns({"_q_source": F.coalesce("source", F.lit(_NULL)), "_q_lang": F.coalesce("lang", F.lit(_NULL)), "_q_topic": topic(text_or_empty(), n_words)})
-    kept = docs.join(rates, [f"_q_{c}" for c in MARGINALS]).where(copies(F.col("_q_rate"), F.col("doc_id").cast("long"), seed) > 0)
-    return kept.select(*(F.col(f"`{c}`") for c in documents.columns))
+    n = copies(F.col("_q_rate"), F.col("doc_id").cast("long"), seed)
+    kept = docs.join(rates, [f"_q_{c}" for c in MARGINALS]).withColumn("_q_copies", n.cast("int")).where("_q_copies > 0")
+    every = kept.withColumn("_q_copy", F.explode(F.array_repeat(F.lit(0), F.col("_q_copies"))))
+    return every.select(*(F.col(f"`{c}`") for c in documents.columns))

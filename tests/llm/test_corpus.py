@@ -376,6 +376,16 @@ def test_mixing_meets_its_targets(spark):
     assert kept.columns == df.columns and {x["doc_id"] for x in kept.collect()} == set(out["doc_id"][out["copies"] > 0])
 
 
+def test_sampled_rows_meet_the_targets(spark):
+    rows = [(k, "word " * 120, "en" if k % 10 else "es", "a" if k % 7 else "b", 600) for k in range(1500)]
+    df = spark.createDataFrame(rows, DOCS)
+    target = spark.createDataFrame([("es", 0.3), ("en", 0.7)], "lang string, target_lang double")
+    copies = {x["doc_id"]: x["copies"] for x in mixing.mixed(spark, df, {"lang": target}).collect()}
+    out = [x["doc_id"] for x in mixing.sampled(spark, df, {"lang": target}).collect()]
+    assert max(copies.values()) > 1 and all(out.count(k) == n for k, n in copies.items())
+    assert abs(sum(k % 10 == 0 for k in out) / len(out) - 0.3) < 0.03
+
+
 def test_mixing_edges(spark, docs):
     out = mixing.mixed(spark, docs)
     assert out.count() == docs.count() and out.where("rate is null or copies is null").count() == 0
