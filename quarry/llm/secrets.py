@@ -1,7 +1,8 @@
 """Secrets in texts: three fixed patterns, and strings that zstandard finds new in a sensitive context.
 
 The base patterns are matched as they stand. The method adds candidates: values of 16 or more
-characters after a name that speaks of keys or credentials, with two kinds of characters or more.
+characters after a name that speaks of keys or credentials, and all runs of ``MIN_RUN`` token characters
+or more within ``REACH`` characters of such a name, or of a candidate that is reported, on either side.
 A candidate's novelty is the number of bytes that it adds to its compressed surroundings, with a
 compressor primed by a dictionary of identifiers, placeholders and alphabets that code and
 documentation use. Prose, names, paths and placeholders repeat what is there and add little; keys
@@ -34,6 +35,15 @@ _CANDIDATE = re.compile(
     r"""[\w.-]*(?:pass(?:word|wd|phrase)?|pwd|secret|token|key|auth|bearer|credential|signature|salt|private)[\w.-]*["']?[ \t]{0,4}(?:[:=]{1,2}>?|[ \t])[ \t]{0,4}["']?([A-Za-z0-9+/_.=~$!@%^&*-]{16,})""",
     re.I | re.A,
 )
+_WORD = re.compile("|".join(_SENSITIVE), re.I | re.A)
+#: Runs that may be a secret; an equals sign is padding at the end.
+MIN_RUN = 12
+_RUN = re.compile(r"[A-Za-z0-9+/_.~$!@%%^&*-]{%d,}={0,2}" % MIN_RUN)
+#: Runs that are left out of a candidate's surroundings: the other lines of a key would make its own ones look usual.
+LONG_RUN = 40
+_LONG = re.compile(r"[A-Za-z0-9+/=]{%d,}" % LONG_RUN)
+#: Characters between a sensitive word and a run that it makes a candidate.
+REACH = 100
 CONTEXT = 200
 MIN_RATIO = 0.72
 #: Identifiers, placeholders and alphabets of code and documentation, for the compressor's dictionary.
@@ -77,16 +87,43 @@ def novel_spans(text: str, known: list[tuple[int, int, str]]) -> list[tuple[int,
     low = text.lower()
     if not any(w in low for w in _SENSITIVE):
         return []
-    out = []
-    for m in _CANDIDATE.finditer(text):
-        start, end = m.span(1)
-        value = m[1]
-        kinds = sum(any(f(c) for c in value) for f in (str.islower, str.isupper, str.isdigit))
-        if kinds < 2 or any(a < end and start < b for a, b, _ in known):
-            continue
-        if novelty(text[max(0, start - CONTEXT) : start], value, text[end : end + CONTEXT]) >= MIN_RATIO * len(value):
-            out.append((start, end, "novel"))
-    return out
+    named = [m.span(1) for m in _CANDIDATE.finditer(text)]
+    runs, k = [], 0
+    for m in _RUN.finditer(text):
+        while k < len(named) and named[k][1] <= m.start():
+            k += 1
+        if k == len(named) or named[k][0] >= m.end():
+            runs.append(m.span())
+    places = sorted(x for x in named + runs if not any(a < x[1] and x[0] < b for a, b, _ in known))
+    marks = [m.span() for m in _WORD.finditer(text)]
+    new: dict[tuple[int, int], bool] = {}
+
+    def is_new(span: tuple[int, int]) -> bool:
+        if span not in new:
+            start, end = span
+            before, after = text[max(0, start - CONTEXT) : start], text[end : end + CONTEXT]
+            if len(before) + len(after) >= LONG_RUN:
+                before, after = _LONG.sub("", before), _LONG.sub("", after)
+            new[span] = novelty(before, text[start:end], after) >= MIN_RATIO * (end - start)
+        return new[span]
+
+    # What is within reach of a word or a reported run before it, then of one after it.
+    found, at, k = set(named) & set(places), -REACH - 1, 0
+    found = {x for x in found if is_new(x)}
+    for span in places:
+        while k < len(marks) and marks[k][0] < span[1]:
+            at, k = max(at, marks[k][1]), k + 1
+        if span in found or span[0] - at <= REACH and is_new(span):
+            found.add(span)
+            at = max(at, span[1])
+    at, k = len(text) + REACH + 1, len(marks) - 1
+    for span in reversed(places):
+        while k >= 0 and marks[k][1] > span[0]:
+            at, k = min(at, marks[k][0]), k - 1
+        if span in found or at - span[1] <= REACH and is_new(span):
+            found.add(span)
+            at = min(at, span[0])
+    return [(start, end, "novel") for start, end in sorted(found)]
 
 
 def joined(spans: list[tuple[int, int, str]]) -> str:
