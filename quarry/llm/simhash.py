@@ -52,18 +52,18 @@ def _signed(value: int) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
-def fingerprints(documents: DataFrame, width: int = 3) -> DataFrame:
-    """doc_id and fingerprint (as a signed long) of every document."""
+def fingerprints(documents: DataFrame, width: int = 3, *others: str) -> DataFrame:
+    """doc_id and fingerprint (as a signed long) of every document, with its long columns ``others``."""
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
             found = [_signed(fingerprint(t.as_py(), width)) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64()), *batch.columns[2:]], names=["doc_id", "fp", *others])
 
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    return docs.mapInArrow(run, "doc_id long, fp long")
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"), *others)
+    return docs.mapInArrow(run, ", ".join(["doc_id long", "fp long", *(f"{c} long" for c in others)]))
 
 
 def fuzzy_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -152,10 +152,11 @@ def first_of_groups(documents: DataFrame, rows: DataFrame, groups: DataFrame) ->
 
 
 def without_near_duplicates(spark: SparkSession, documents: DataFrame, width: int = 3, max_bits: int = MAX_BITS) -> DataFrame:
-    """The documents with one row of each near-duplicate group, that of its smallest id; rows without an id all stay."""
-    found = near_duplicates(spark, documents, width, max_bits)
-    first = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_q_first")).distinct()
-    kept = documents.join(first, F.col("doc_id") == F.col("_q_first"), "left_semi")
-    order = W.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    kept = kept.withColumn("_q_row", F.row_number().over(order)).where("_q_row = 1").drop("_q_row")
-    return kept.unionByName(documents.where("doc_id is null"))
+    """The documents with one row of each near-duplicate group, that of its smallest id; rows without an id all stay.
+
+    Groups are of rows: rows with the same id and different texts are in the groups of their own fingerprints.
+    """
+    texts = documents.where("doc_id is not null").select("doc_id", "text", F.xxhash64("text").alias("digest"))
+    rows = written(spark, fingerprints(texts, width, "digest"), "fingerprints").withColumnRenamed("fp", "node")
+    classes = written(spark, rows.select(F.col("node").alias("fp"), F.col("node").alias("rep")).distinct(), "classes")
+    return first_of_groups(documents, rows, connected_components(spark, fingerprint_links(classes, max_bits)))

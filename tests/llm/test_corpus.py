@@ -267,6 +267,14 @@ def test_simhash(spark, texts, docs, monkeypatch):
     assert simhash.near_duplicates(spark, empty(spark)).count() == 0
 
 
+def test_rows_of_one_id_stay_with_their_own_groups(spark):
+    r = random.Random(3)
+    a, b, c = (" ".join("".join(r.choice("abcdefghil") for _ in range(6)) for _ in range(40)) for _ in range(3))
+    df = made(spark, [a, b, b, c, c, a, None], [1, 1, 2, 2, None, 1, None])
+    for kept in (simhash.without_near_duplicates(spark, df), similar.without_similar(spark, df)):
+        assert sorted((x["doc_id"] or 0, x["text"] or "") for x in kept.collect()) == sorted([(1, a), (1, b), (2, c), (0, c), (0, "")])
+
+
 def test_pipeline_drops_similar_texts(spark, monkeypatch):
     import corpus_pipeline
 
