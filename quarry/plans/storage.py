@@ -72,6 +72,13 @@ def store_set_cell(spark, d):
         return store.scan("customers").drop("_row_idx")
 
 
+def store_set_cell_all(spark, d):
+    with _filled(spark, d) as store:
+        row = store.scan("customers").where("id = 7").first()["_row_idx"]
+        store.set_cell("customers", row, "name", "changed")
+        return store.scan("customers").drop("_row_idx")
+
+
 def store_replace(spark, d):
     with _filled(spark, d) as store:
         store.replace_rows("customers", _customers(spark, d).where("balance > 5000"))
@@ -114,6 +121,7 @@ _ENTRIES = {
     "store_lookup": (store_lookup, f"{_BASE} where c_custkey = 77"),
     "store_range_scan": (store_range_scan, f"{_BASE} where c_custkey >= 100 and c_custkey < 140"),
     "store_set_cell": (store_set_cell, "select id, case when id = 7 then 'changed' else name end as name, balance, active from (" + _BASE + " order by c_custkey limit 50)"),
+    "store_set_cell_all": (store_set_cell_all, f"select id, case when id = 7 then 'changed' else name end as name, balance, active from ({_BASE})"),
     "store_replace": (store_replace, "select c_custkey as id, c_name as name, c_acctbal as balance from customer where c_acctbal > 5000"),
     "store_insert_twice": (store_insert_twice, "select count(*) as n, cast(0 as bigint) as first, count(*) - 1 as last, count(*) as numbers from customer"),
     "index_rows": (index_rows, "select cast(n_regionkey as bigint) as key, count(*) as n from nation group by 1"),

@@ -28,6 +28,12 @@ def test_query_equals_its_sql(spark, name):
     assert got == sorted((tuple(plain(r[p]) for p in places) for r in want.fetchall()), key=repr)
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_a_cell_is_set_in_a_whole_table(spark):
+    found = plans.queries()["store_set_cell_all"](spark, SF)
+    assert found.count() == spark.read.parquet(f"{SF}/customer.parquet").count() > 50 and found.where("name = 'changed'").count() == 1
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 def test_entry(spark):
     assert entry.entry(spark).count() == 20
