@@ -26,6 +26,10 @@ def sort_multi_key(spark, d):
     return _q(spark, d, "customer").sort_by(F.col("c_mktsegment")).sort_by(F.col("c_acctbal").desc()).sort_by("c_custkey").limit(500).project("c_custkey", "c_mktsegment", "c_acctbal").execute()
 
 
+def sort_multi_key_all(spark, d):
+    return _q(spark, d, "customer").sort_by(F.col("c_mktsegment")).sort_by(F.col("c_acctbal").desc()).sort_by("c_custkey").project("c_custkey", "c_mktsegment", "c_acctbal").execute()
+
+
 def topk(spark, d):
     return _q(spark, d, "orders").limit(20).filter(F.col("o_totalprice") >= 1000.0).offset(5).sort_by(F.col("o_totalprice").desc(), F.col("o_orderkey")).project("o_orderkey", "o_custkey", "o_totalprice").execute()
 
@@ -42,6 +46,10 @@ def project_then_filter(spark, d):
     return _q(spark, d, "customer").project("c_custkey", "c_nationkey", (F.col("c_acctbal") * 2).alias("twice")).filter("twice > 9000").sort_by(F.col("twice").desc(), "c_custkey").limit(100).execute()
 
 
+def project_then_filter_all(spark, d):
+    return _q(spark, d, "customer").project("c_custkey", "c_nationkey", (F.col("c_acctbal") * 2).alias("twice")).filter("twice > 9000").sort_by(F.col("twice").desc(), "c_custkey").execute()
+
+
 def query_helper(spark, d):
     return query(table(spark, d, "nation"), filter="n_regionkey = 1", sort_by=[F.col("n_name").desc()], limit=3)
 
@@ -159,10 +167,12 @@ _ENTRIES = {
     "scan_filter": (scan_filter, "select o_orderkey, o_custkey, o_totalprice from orders where o_totalprice >= 200000"),
     "filter_multi": (filter_multi, "select l_orderkey, l_linenumber, l_quantity from lineitem where l_quantity > 25 and l_discount <= 0.05 and l_returnflag = 'R'"),
     "sort_multi_key": (sort_multi_key, "select c_custkey, c_mktsegment, c_acctbal from customer order by c_mktsegment, c_acctbal desc, c_custkey limit 500"),
+    "sort_multi_key_all": (sort_multi_key_all, "select c_custkey, c_mktsegment, c_acctbal from customer order by c_mktsegment, c_acctbal desc, c_custkey"),
     "topk": (topk, "select o_orderkey, o_custkey, o_totalprice from orders where o_totalprice >= 1000 order by o_totalprice desc, o_orderkey limit 20 offset 5"),
     "offset_limit": (offset_limit, "select p_partkey, p_name from part order by p_partkey limit 50 offset 100"),
     "project_expr": (project_expr, "select l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount), 4) as net from lineitem"),
     "project_then_filter": (project_then_filter, "select c_custkey, c_nationkey, c_acctbal * 2 as twice from customer where c_acctbal * 2 > 9000 order by twice desc, c_custkey limit 100"),
+    "project_then_filter_all": (project_then_filter_all, "select c_custkey, c_nationkey, c_acctbal * 2 as twice from customer where c_acctbal * 2 > 9000 order by twice desc, c_custkey"),
     "query_helper": (query_helper, "select * from nation where n_regionkey = 1 order by n_name desc limit 3"),
     "agg_count_with_nulls": (_agg("count"), f"select count(*) as value from (select {_X} as x from lineitem)"),
     "agg_sum_int": (_agg("sum"), f"select cast(sum({_X}) as bigint) as value from lineitem"),

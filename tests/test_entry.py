@@ -34,6 +34,16 @@ def test_a_cell_is_set_in_a_whole_table(spark):
     assert found.count() == spark.read.parquet(f"{SF}/customer.parquet").count() > 50 and found.where("name = 'changed'").count() == 1
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+@pytest.mark.parametrize("name", ["sort_multi_key_all", "project_then_filter_all"])
+def test_whole_tables_are_sorted(spark, name):
+    found = plans.queries()[name](spark, SF)
+    assert "TakeOrdered" not in found._jdf.queryExecution().executedPlan().toString()
+    places = [tuple(r) for r in found.collect()]
+    key = (lambda r: (r[1], -r[2], r[0])) if name == "sort_multi_key_all" else (lambda r: (-r[2], r[0]))
+    assert places and places == sorted(places, key=key)
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 def test_entry(spark):
     assert entry.entry(spark).count() == 20
