@@ -10,7 +10,9 @@
 3. A piece's global rank among those of its length picks its pattern, copy and offset.
 
 Nulls: a null text counts as empty (one piece: the end id); a null ``doc_id`` stays null. Repeated
-rows are packed as separate documents. An empty table gives no rows.
+rows are packed as separate documents. Pieces of equal length are ranked by task and then by place in
+the task, so ties fall as the table is read; which sequence they go to differs, its lengths do not. A text of any length is cut
+into as many pieces as it needs. An empty table gives no rows; columns other than ``doc_id`` and ``text`` are ignored.
 """
 
 from __future__ import annotations
@@ -99,18 +101,20 @@ def encoded_pieces(docs: DataFrame, vocabulary: str, capacity: int) -> DataFrame
         part = TaskContext.get().partitionId()
         enc, seen, end = encoder(vocabulary), {}, END_ID.to_bytes(4, "little")
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            out = ([], [], [], [], [], [], [])
-            for doc_id, text in zip(ids, texts):
-                data = enc.encode(text.as_py()) + end
-                total = len(data) // 4
-                for start in range(0, total, capacity):
-                    piece = data[4 * start : 4 * (start + capacity)]
-                    length = len(piece) // 4
-                    rank = seen.get(length, 0)
-                    seen[length] = rank + 1
-                    for column, value in zip(out, (doc_id, start, length, zlib.crc32(piece), total, part, rank)):
-                        column.append(value)
+            doc_ids, out = batch.column(0).to_pylist(), ([], [], [], [], [], [], [])
+            for first, ids, offsets in enc.encoded(batch.column(1)):
+                data, at = memoryview(ids.astype("<u4", copy=False).tobytes()), (4 * offsets).tolist()
+                for k, (a, b) in enumerate(zip(at, at[1:])):
+                    total = (b - a) // 4 + 1
+                    for start in range(0, total, capacity):
+                        length = min(capacity, total - start)
+                        crc = zlib.crc32(data[a + 4 * start : min(b, a + 4 * (start + length))])
+                        if start + length == total:
+                            crc = zlib.crc32(end, crc)
+                        rank = seen.get(length, 0)
+                        seen[length] = rank + 1
+                        for column, value in zip(out, (doc_ids[first + k], start, length, crc, total, part, rank)):
+                            column.append(value)
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
             names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "part", "local_rank"]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=names)

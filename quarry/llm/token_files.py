@@ -13,6 +13,10 @@ Layout of a ``.qpf`` file (all little-endian):
   footer's own start (u64 each) and the magic again.
 
 Files are written under a temporary name and moved, so a task that runs again replaces its file.
+
+Nulls: a null text is empty (the end id alone); a null ``doc_id`` sorts first and is read back as null. Repeated rows
+are documents of their own, in the table's order. Texts of any length are written; a writer holds one text and one chunk. An empty
+table gives no file and no rows; columns other than ``doc_id`` and ``text`` are ignored.
 """
 
 from __future__ import annotations
@@ -107,8 +111,7 @@ class TokenFileWriter:
         self.stream.write(data)
         self.at += len(data)
 
-    def add(self, doc_id: int | None, data: bytes) -> None:
-        ids = np.frombuffer(data, "<u4")
+    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
         self.doc_ids.append(doc_id or 0)
         self.nulls.append(doc_id is None)
         self.lengths.append(len(ids))
@@ -201,7 +204,8 @@ def write_token_files(spark: SparkSession, documents: DataFrame, folder: str, vo
     """Writes the ids of all documents, in ascending ``doc_id`` order, as one file for each range of ids.
 
     Returns the manifest: part, file, n_docs, n_tokens, n_bytes. ``folder`` must be shared by all executors.
-    Null texts are empty, a null ``doc_id`` sorts first, equal ids keep one file's order.
+    Null texts are empty, a null ``doc_id`` sorts first; rows with equal ids keep the table's order and may be
+    parted among files.
     """
     vocabulary = vocabulary or default_vocabulary()
     folder = folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
@@ -211,24 +215,29 @@ def write_token_files(spark: SparkSession, documents: DataFrame, folder: str, vo
         from pyspark import TaskContext
 
         context = TaskContext.get()
-        part, enc, end = context.partitionId(), encoder(vocabulary), END_ID.to_bytes(4, "little")
+        part, enc = context.partitionId(), encoder(vocabulary)
         system, root = _filesystem(folder.replace("file:///", "file:/").replace("file:/", "file:///"))
         writer, tokens, temporary = None, 0, f"{root}/.part-{part:06d}-{context.taskAttemptId()}"
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            doc_ids = batch.column(0).to_pylist()
+            for first, ids, offsets in enc.encoded(batch.column(1)):
                 if writer is None:
                     system.create_dir(root)
                     writer = TokenFileWriter(system.open_output_stream(temporary))
-                data = enc.encode(text.as_py()) + end
-                tokens += len(data) // 4
-                writer.add(doc_id, data)
+                # Every text's ids with the end id behind them.
+                ended = np.insert(ids, offsets[1:], END_ID)
+                at = (offsets + np.arange(len(offsets))).tolist()
+                tokens += len(ended)
+                for k, (a, b) in enumerate(zip(at, at[1:])):
+                    writer.add(doc_ids[first + k], ended[a:b])
         if writer is not None:
             size = writer.close()
             system.move(temporary, f"{root}/part-{part:06d}.qpf")
             yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "file": [f"part-{part:06d}.qpf"], "n_docs": [len(writer.doc_ids)], "n_tokens": [tokens], "n_bytes": [size]})
 
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    ordered = docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    # The row's place parts ids that repeat; it is the same when a task runs again.
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"), F.monotonically_increasing_id().alias("place"))
+    ordered = docs.repartitionByRange("doc_id", "place").sortWithinPartitions("doc_id", "place").select("doc_id", "text")
     manifest = ordered.mapInArrow(run, "part int, file string, n_docs long, n_tokens long, n_bytes long")
     rows = sorted(map(tuple, manifest.collect()))  # one row for each file
     return spark.createDataFrame(rows, manifest.schema)

@@ -67,7 +67,7 @@ def ids_of(text):
 
 
 def test_encoder_equals_the_library(texts):
-    e = encoding.PieceEncoder(encoding.default_vocabulary(), cache_pieces=50)
+    e = encoding.PieceEncoder(encoding.default_vocabulary(), cache_entries=50)
     r = random.Random(2)
     signs = [chr(c) for c in range(1, 0x180)] + list("  \n\t''\"<|>_-éßİıſK²½١…’文字😀sStTdD́ \x85\x1c")
     odd = ["".join(r.choice(signs) for _ in range(r.randint(0, 50))) for _ in range(1500)]
@@ -75,6 +75,38 @@ def test_encoder_equals_the_library(texts):
         assert e.encode(t) == ids_of(t)[:-1].tobytes()
 
 
+def test_encoder_equals_the_library_beside_any_white_space():
+    e = encoding.PieceEncoder(encoding.default_vocabulary())
+    r = random.Random(4)
+    parts = ["一", "文", "\x85", "\u2003", "\u3000", "\u200b", "\xa0", "\x1c", "x,", "a", "a,", "b's", "1½", "é", "e\u0301,", "’tis"]
+    for _ in range(800):
+        t = "".join(r.choice(parts) + r.choice(("", " ", "  ")) for _ in range(r.randint(1, 8)))
+        assert e.encode(t) == ids_of(t)[:-1].tobytes(), ascii(t)
+    assert e.encode("文 b a, 文") == ids_of("文 b a, 文")[:-1].tobytes()
+
+
+def test_encoder_cuts_latin_signs_as_the_library_does():
+    import pyarrow as pa
+
+    e, signs = encoding.PieceEncoder(encoding.default_vocabulary()), [*map(chr, range(1, 256)), *"‐’…‧€"]
+    lot = [a + b + "z" + b + a for a in signs for b in signs[::3]]
+    want = [x.ids for x in library().encode_batch(lot, add_special_tokens=False)]
+    for first, ids, at in e.encoded(pa.array(lot)):
+        assert all(ids[at[k] : at[k + 1]].tolist() == want[first + k] for k in range(len(at) - 1))
+
+
+def test_encoder_of_long_texts(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(encoding, "LOT_BYTES", 1000)
+    e, r = encoding.PieceEncoder(encoding.default_vocabulary()), random.Random(6)
+    word = lambda: "".join(r.choice("abdeilnorst") for _ in range(r.randint(1, 9)))
+    lot = ["", "q" * 30_000, " ".join(word() for _ in range(250_000)), "", "x y", "文" * 5000, "<|" * 4000]
+    for first, ids, at in e.encoded(pa.array(lot)):
+        for k in range(len(at) - 1):
+            assert ids[at[k] : at[k + 1]].tolist() == ids_of(lot[first + k])[:-1].tolist()
+
+
 def test_packing(spark, texts, docs):
     rows = packing.pack(spark, docs).collect()
     by_doc, by_sequence = {}, {}
@@ -128,6 +160,15 @@ def test_token_files(spark, texts, docs):
     assert sorted(r["start"] for r in token_files.token_file_round_trip(spark, twice).collect()) == [0, 1, 4]
 
 
+def test_token_files_part_a_repeated_id(spark):
+    df = made(spark, [f"w{k}" for k in range(400)], [7] * 400)
+    folder = common.scratch_path(spark, "tokens")
+    manifest = token_files.write_token_files(spark, df, folder)
+    assert manifest.count() > 1
+    got = sorted((r["start"], r["ids_crc32"]) for r in token_files.read_token_files(spark, manifest, folder).collect())
+    assert [c for _, c in got] == [zlib.crc32(ids_of(f"w{k}").tobytes()) for k in range(400)]
+
+
 @pytest.mark.parametrize("high", [1, 2, 200, 65536, 2**32 - 1])
 def test_blocks_round_trip(high):
     rng = np.random.default_rng(high)
@@ -146,7 +187,7 @@ def test_blocks_are_read_alone(tmp_path):
     path = str(tmp_path / "t.qpf")
     writer = token_files.TokenFileWriter(pa.OSFile(path, "wb"))
     for k, x in enumerate(ids):
-        writer.add(k, x.tobytes())
+        writer.add(k, x)
     writer.close()
     reader, whole = token_files.TokenFileReader(pa.OSFile(path)), np.concatenate(ids)
     assert [(i, x.tolist()) for i, x in reader.documents()] == [(k, x.tolist()) for k, x in enumerate(ids)]
