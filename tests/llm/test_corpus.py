@@ -477,6 +477,78 @@ def test_secrets_of_any_form_near_a_sensitive_word():
     assert secrets.find(far)[1] == [] and secrets.find(prose * 3 + "the key and the password of the house")[1] == []
 
 
+def plain_base_spans(text):
+    """The base patterns, character by character."""
+    out, low = [], "".join(c.lower() if c.isascii() else c for c in text)
+    value, capital, hexes = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"), set("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), set("0123456789abcdef")
+
+    def run(at, signs):
+        while at < len(text) and text[at] in signs:
+            at += 1
+        return at
+
+    def assigned(at):
+        for name in ("password", "passwd", "secret", "token", "api_key", "apikey"):
+            if low.startswith(name, at):
+                at += len(name)
+                break
+        else:
+            return None
+        at += at < len(text) and text[at] in "\"'"
+        at = run(at, " ")
+        if at == len(text) or text[at] not in ":=":
+            return None
+        at = run(at + 1, " ")
+        at += at < len(text) and text[at] in "\"'"
+        end = run(at, value)
+        return (end, end - at) if end > at else None
+
+    at = 0
+    while at < len(text):
+        found = assigned(at)
+        if found and found[1] >= 6:
+            out.append((at, found[0], "assign"))
+        at = found[0] if found else at + 1
+    at = 0
+    while at < len(text):
+        end = run(at + 4, capital) if text.startswith("AKIA", at) else at
+        if end - at >= 20:
+            out.append((at, end, "access"))
+        at = end if end > at + 4 else at + 1
+    at = 0
+    while at < len(text):
+        end = run(at, hexes)
+        if end - at >= 24:
+            out.append((at, end, "hex"))
+        at = max(end, at + 1)
+    return sorted(out, key=lambda s: (s[0], secrets.KINDS.index(s[2])))
+
+
+def test_base_spans_equal_a_plain_scan():
+    r = random.Random(21)
+    parts = ["password", "PassWD", "secret", "Token", "api_key", "apikey", "api-key", "AKIA", "AKIAAKIA", "deadbeef", "0123456789abcdef", "ABCDEF0123456789", '"', "'", " ", "  ", ":", "=", "==", "x", "é", "ſecret", "K", "\n", "-", ".", "ab", "tok", "en"]
+    found = 0
+    for _ in range(20_000):
+        t = "".join(r.choice(parts) for _ in range(r.randint(0, 14)))
+        want = plain_base_spans(t)
+        assert secrets.base_spans(t) == want, ascii(t)
+        found += len(want)
+    assert found > 2000
+
+
+def test_secrets_in_long_texts():
+    import time
+
+    for text in ("key" * 100_000, "api-key-token-" * 10_000, "token " * 50_000, "key = " * 50_000, "a" * 1_200_000 + " key", "token=" + " " * 300_000, 'secret="' * 40_000):
+        start = time.process_time()
+        secrets.find(text)
+        assert time.process_time() - start < 8, text[:20]
+    r = random.Random(2)
+    key = "".join(r.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(30))
+    text = "plain words of a long text " * 50_000 + f"auth_key: {key} " + "and so on " * 20_000
+    assert [text[a:b] for a, b, _ in secrets.find(text)[1]] == [key]
+
+
 # Toxicity and extraction
 
 
