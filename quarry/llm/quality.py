@@ -53,36 +53,47 @@ def features(documents: DataFrame) -> DataFrame:
     """doc_id, lang, the base counts, and counts of character classes and common words."""
     docs = documents.select("doc_id", "lang", text_or_empty().alias("text"))
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    left = {k: F.length(F.regexp_replace("text", F.lit(p), F.lit(""))) for k, p in CLASSES.items()}
-    step = docs.select("doc_id", "lang", words(F.col("text")).alias("words"), lines.alias("lines"), F.length("text").alias("n_all"), *(left[k].alias(f"c_{k}") for k in left))
+    without = lambda c, p: F.regexp_replace(c, F.lit(p), F.lit(""))
+    # The two large classes go first, so the others are sought in what is left; in steps, as one expression of them all is too long for the JVM to compile.
+    step = docs.select("doc_id", "lang", words(F.col("text")).alias("words"), lines.alias("lines"), F.length("text").alias("n_all"), without("text", "[a-z]+").alias("rest"))
+    step = step.withColumns({"c_lower": F.col("n_all") - F.length("rest"), "n_rest": F.length("rest"), "rest": without("rest", r"[\x20\x09-\x0D]+")})
+    left = [k for k in CLASSES if k not in ("lower", "space")]
+    step = step.withColumns({"c_space": F.col("n_rest") - F.length("rest"), **{f"c_{k}": F.length(without("rest", CLASSES[k])) for k in left}})
+    left = list(CLASSES)
     common = F.create_map(*[x for k, v in COMMON.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
     every = sorted({w for v in COMMON.values() for w in v})
     n = F.size("words")
-    # Windows by 64-bit hashes: two different ones of a text of 100,000 words agree with a chance of 3e-10.
-    trigrams = F.when(n >= 3, F.transform(F.slice("words", F.lit(1), n - 2), lambda w, i: F.xxhash64(w, F.get("words", i + 1), F.get("words", i + 2)))).otherwise(F.array().cast("array<long>"))
+    hashes = F.when(n >= 3, F.transform(F.slice("words", F.lit(1), n - 2), lambda w, i: F.xxhash64(w, F.get("words", i + 1), F.get("words", i + 2)))).otherwise(F.array().cast("array<long>"))
     step = step.select(
         "doc_id", "lang", "words", *(f"c_{k}" for k in left), "n_all",
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         n.cast("long").alias("n_words"),
         F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
-        trigrams.alias("windows"),
-        F.filter("words", lambda w: w.isin(every)).alias("used"),
-        F.coalesce(F.try_element_at(common, F.coalesce("lang", F.lit(""))), F.array().cast("array<string>")).alias("own"),
+        hashes.alias("hashes"),
+        # Two spaces between words, so that each has its own on both sides.
+        F.concat(F.lit(" "), F.array_join(F.filter("words", lambda w: w.isin(every)), "  "), F.lit(" ")).alias("used"),
     )
-    repeated = F.size(F.array_distinct("windows")) < F.size("windows")
-    placed = F.when(repeated, F.array_sort(F.transform("windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))).otherwise(F.array().cast("array<struct<h:bigint,i:int>>"))
-    hits = F.transform("own", lambda c: F.size(F.filter("used", lambda w: w == c)).cast("long"))
-    # All other words are the histogram's first bin.
-    others = F.array(F.col("n_words") - F.size(F.filter("used", lambda w: F.array_contains("own", w))).cast("long"))
-    hits = F.concat(others, hits)
+    # A repeated window has a repeated hash; where there is one, windows are ordered by hash and words and held to the words.
+    window = lambda h, i: F.struct(h.alias("h"), F.get("words", i).alias("a"), F.get("words", i + 1).alias("b"), F.get("words", i + 2).alias("c"), i.alias("i"))
+    placed = F.when(F.size(F.array_distinct("hashes")) < F.size("hashes"), F.sort_array(F.transform("hashes", window)))
+    own = F.coalesce(F.try_element_at(common, F.coalesce("lang", F.lit(""))), F.array().cast("array<string>"))
+    gone = lambda w: F.length(F.replace("used", F.concat(F.lit(" "), w, F.lit(" ")), F.lit("")))
+    hits = F.transform(own, lambda w: ((F.length("used") - gone(w)) / (F.length(w) + 2)).cast("long"))
     other = F.col("n_all") - sum((F.col(f"c_{k}") for k in left), F.lit(0))
     step = step.select(
-        "doc_id", "lang", "n_words", "word_chars", F.col("c_symbol").cast("long").alias("n_symbols"), "n_dup_lines", placed.alias("placed"), hits.alias("common"),
+        "doc_id", "lang", "n_words", "word_chars", F.col("c_symbol").cast("long").alias("n_symbols"), "n_dup_lines", placed.alias("placed"), hits.alias("hits"),
         F.array(*(F.col(f"c_{k}").cast("long") for k in left), other.cast("long")).alias("characters"),
     )
-    same = lambda x, j, by: F.coalesce(F.get("placed", j + by)["h"] == x["h"], F.lit(False))
-    spots = F.array_sort(F.transform(F.filter("placed", lambda x, j: same(x, j, -1) | same(x, j, 1)), lambda x: x["i"]))
-    step = step.withColumn("spots", F.when(F.size("placed") > 0, spots).otherwise(F.array().cast("array<int>"))).drop("placed")
+    # All other words are the histogram's first bin.
+    others = F.col("n_words") - F.aggregate("hits", F.lit(0).cast("long"), lambda a, x: a + x)
+    step = step.withColumn("common", F.concat(F.array(others), F.col("hits"))).drop("hits")
+
+    def same(x, j):
+        y = F.get("placed", j)
+        return F.coalesce((y["h"] == x["h"]) & (y["a"] == x["a"]) & (y["b"] == x["b"]) & (y["c"] == x["c"]), F.lit(False))
+
+    spots = F.sort_array(F.transform(F.filter("placed", lambda x, j: same(x, j - 1) | same(x, j + 1)), lambda x: x["i"]))
+    step = step.withColumn("spots", F.coalesce(F.when(F.col("placed").isNotNull(), spots), F.array().cast("array<int>"))).drop("placed")
     # A window adds its words up to the next repeated window's start.
     covered = F.aggregate(F.transform("spots", lambda p, j: F.least(F.lit(3), F.coalesce(F.get("spots", j + 1), p + 3) - p)), F.lit(0), lambda a, x: a + x)
     return step.withColumn("n_repeat_words", covered.cast("long")).drop("spots")
