@@ -19,13 +19,15 @@ SEPARATOR_CLASS = r"[\x20\x09-\x0D]"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where it is unset (tests and local runs) a temporary folder of this machine is made, used
-    as checkpoint folder, and removed at exit.
+    Only where it is unset and the master is local (tests) a temporary folder of this machine is made, used
+    as checkpoint folder, and removed at exit; on a cluster it must be set.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         base = getattr(spark.sparkContext, "_quarry_shared", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: executors need a folder that they share")
         base = tempfile.mkdtemp(prefix="quarry-shared-")
         atexit.register(shutil.rmtree, base, ignore_errors=True)
         spark.sparkContext._quarry_shared = base
@@ -63,6 +65,14 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name for an operator's own use that the table does not have, whatever its case."""
+    taken, out = {c.lower() for c in df.columns}, f"_q_{name}"
+    while out.lower() in taken:
+        out += "_"
+    return out
+
+
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
 

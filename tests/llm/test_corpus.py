@@ -439,6 +439,45 @@ def test_sampled_rows_meet_the_targets(spark):
     assert abs(sum(k % 10 == 0 for k in out) / len(out) - 0.3) < 0.03
 
 
+def test_rates_equal_an_independent_fit(spark):
+    r = random.Random(13)
+    rows = [(k, "w " * r.randint(1, 400), r.choice(["en", "de", "fr", None]), r.choice("aaab") if k % 3 else "c", 0) for k in range(900)]
+    got = mixing.mixed(spark, spark.createDataFrame(rows, DOCS)).toPandas().fillna("none")
+    axes = [sorted(got[c].unique()) for c in mixing.MARGINALS]
+    weight = np.zeros([len(a) for a in axes])
+    place = [tuple(a.index(v) for a, v in zip(axes, row)) for row in got[list(mixing.MARGINALS)].itertuples(index=False)]
+    for at, n in zip(place, got["tokens"]):
+        weight[at] += n
+    own = weight / weight.sum()
+    targets = []
+    for k in range(3):
+        share = weight.sum(axis=tuple({0, 1, 2} - {k})) ** mixing.TEMPER
+        targets.append(share / share.sum())
+    fit = own.copy()
+    for _ in range(500):
+        for k in range(3):
+            shape = [1, 1, 1]
+            shape[k] = -1
+            fit = fit * (targets[k] / fit.sum(axis=tuple({0, 1, 2} - {k}))).reshape(shape)
+    want = [fit[at] / own[at] for at in place]
+    assert np.allclose(got["rate"], want, rtol=1e-4) and got["converged"].all() and (got["residual"] <= mixing.TOLERANCE).all()
+
+
+def test_targets_without_a_fit_are_told(spark):
+    df = spark.createDataFrame([(k, "w " * 200, "en" if k < 6 else "de", "a" if k < 6 else "b", 0) for k in range(10)], DOCS)
+    table = lambda c, rows: spark.createDataFrame(rows, f"{c} string, target_{c} double")
+    targets = {"source": table("source", [("a", 0.5), ("b", 0.5)]), "lang": table("lang", [("en", 0.9), ("de", 0.1)])}
+    with pytest.warns(UserWarning, match="relative error"):
+        out = mixing.mixed(spark, df, targets).collect()
+    assert len(out) == 10 and not any(r["converged"] for r in out) and out[0]["residual"] > 0.1
+
+
+def test_mixing_keeps_columns_named_like_its_own(spark):
+    df = made(spark, ["a b", "c " * 300, None], [1, 1, None]).withColumns({c: mixing.F.lit(7) for c in ("_q_source", "_q_rate", "topic", "tokens", "copies")})
+    out = mixing.sampled(spark, df)
+    assert out.columns == df.columns and {r["_q_rate"] for r in out.collect()} <= {7}
+
+
 def test_mixing_edges(spark, docs):
     out = mixing.mixed(spark, docs)
     assert out.count() == docs.count() and out.where("rate is null or copies is null").count() == 0
@@ -630,8 +669,13 @@ def test_pipeline(spark):
     for name, stage in pipeline.STAGES[:-1]:
         out = stage(spark, docs, SF)
         assert out.columns == docs.columns
-        docs = common.written(spark, out, name)
+        before, docs = docs, common.written(spark, out, name)
         seen.append(docs.count())
-    assert seen == sorted(seen, reverse=True) and seen[2] == seen[3] > 0
+        if name == "mixing":
+            # A document is in as many rows as its rate gives it copies.
+            copies = {r["doc_id"]: r["copies"] for r in mixing.mixed(spark, before).collect()}
+            rows = [r["doc_id"] for r in docs.select("doc_id").collect()]
+            assert all(rows.count(k) == n for k, n in copies.items()) and len(rows) == sum(copies.values())
+    assert seen[:-1] == sorted(seen[:-1], reverse=True) and seen[2] == seen[3] > 0
     packed = pipeline.STAGES[-1][1](spark, docs, SF)
     assert {r["doc_id"] for r in packed.collect()} == {r["doc_id"] for r in docs.collect()}
