@@ -3,6 +3,6 @@
 from .functions import FunctionRegistry, registry
 from .operators import Query, query, query_project
 from .schema import CheckConstraint, ColumnDef, ForeignKey, TableSchema
-from .sources import MemoryCatalog, TableStore, table
+from .sources import MemoryCatalog, RowIndex, TableStore, Viewer, table
 
-__all__ = ["CheckConstraint", "ColumnDef", "ForeignKey", "FunctionRegistry", "MemoryCatalog", "Query", "TableSchema", "TableStore", "query", "query_project", "registry", "table"]
+__all__ = ["CheckConstraint", "ColumnDef", "ForeignKey", "FunctionRegistry", "MemoryCatalog", "Query", "RowIndex", "TableSchema", "TableStore", "Viewer", "query", "query_project", "registry", "table"]

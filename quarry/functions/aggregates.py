@@ -85,6 +85,8 @@ def percentile_disc(p: float = 0.5) -> Callable:
     def build(x, kind, order=None):
         _number(x, kind, "percentile_disc")
         name = re.fullmatch(r"Column<'(.*)'>", str(x))[1]
+        if not re.fullmatch(r"[\w.`]+", name):
+            raise InvalidOperation("percentile_disc takes a column by name: project the expression first")
         return F.expr(f"cast(percentile_disc({_share(p)}D) within group (order by cast({name} as double)) as double)")
 
     return build
@@ -94,8 +96,21 @@ def median(x, kind, order=None):
     return percentile_cont(0.5)(x, kind)
 
 
+def combined(prepare: Callable[[Column], Column], aggregate: Callable[[Column], Column], finish: Callable[[Column], Column] | None = None) -> Callable:
+    """A user's aggregate of prepared values by a built-in one: ``finish(aggregate(prepare(x)))``, partial before the shuffle."""
+
+    def build(x, kind, order=None):
+        out = aggregate(prepare(x))
+        return finish(out) if finish else out
+
+    return build
+
+
 def folded(init: Column, merge: Callable, finish: Callable | None = None) -> Callable:
-    """A user's aggregate: a fold of a group's non-null values by Column lambdas. It gathers a group's values, so groups must be of bounded size."""
+    """A user's aggregate: a fold of a group's non-null values by Column lambdas. It gathers a group's values, so groups must be of bounded size.
+
+    What a built-in aggregate of prepared values can do, ``combined`` does without gathering.
+    """
 
     def build(x, kind, order=None):
         args = (F.collect_list(x), init, merge)

@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..errors import InvalidOperation, from_spark
 from ..functions.registry import registry, type_in
@@ -23,6 +24,13 @@ def _column(x) -> Column:
     return x if isinstance(x, Column) else F.col(x)
 
 
+def _kind(kind: T.DataType) -> str:
+    """The kind of a join key: all integers are one, and both floating point types."""
+    if isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        return "bigint"
+    return "double" if isinstance(kind, (T.FloatType, T.DoubleType)) else kind.simpleString()
+
+
 class Query:
     """Lazy query over a DataFrame, or a table of a store."""
 
@@ -127,7 +135,10 @@ class Query:
             taken.add(name.lower())
             renamed.append(name)
         a, b = (k if isinstance(k, Column) else F.col(k) for k in (left_key, right_key))
-        same = type_in(left, a) == type_in(right, b)
+        kinds = [_kind(type_in(left, a)), _kind(type_in(right, b))]
+        same = kinds[0] == kinds[1]
+        if same and kinds[0] in ("bigint", "double"):
+            a, b = a.cast(kinds[0]), b.cast(kinds[0])
         left, right = left.withColumn("_q_left", a), right.select(b.alias("_q_right"), *(F.col(f"`{c}`").alias(n) for c, n in zip(right.columns, renamed)))
         # Values of different types are never equal; nulls are equal to nulls.
         on = F.col("_q_left").eqNullSafe(F.col("_q_right")) if same else F.lit(False)

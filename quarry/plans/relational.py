@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import aggregates, registry
+from ..functions import FunctionRegistry, aggregates, registry
 from ..functions.windows import over_partition
 from ..operators import Query, query, query_project
 from ..sources import table
@@ -22,10 +22,6 @@ def filter_multi(spark, d):
     return _q(spark, d, "lineitem").filter("l_quantity > 25").filter(F.col("l_discount") <= 0.05).filter("l_returnflag = 'R'").project("l_orderkey", "l_linenumber", "l_quantity").execute()
 
 
-def sort_multi_key(spark, d):
-    return _q(spark, d, "customer").sort_by(F.col("c_mktsegment")).sort_by(F.col("c_acctbal").desc()).sort_by("c_custkey").limit(500).project("c_custkey", "c_mktsegment", "c_acctbal").execute()
-
-
 def sort_multi_key_all(spark, d):
     return _q(spark, d, "customer").sort_by(F.col("c_mktsegment")).sort_by(F.col("c_acctbal").desc()).sort_by("c_custkey").project("c_custkey", "c_mktsegment", "c_acctbal").execute()
 
@@ -42,10 +38,6 @@ def project_expr(spark, d):
     return _q(spark, d, "lineitem").project("l_orderkey", "l_linenumber", F.round(F.col("l_extendedprice") * (1 - F.col("l_discount")), 4).alias("net")).execute()
 
 
-def project_then_filter(spark, d):
-    return _q(spark, d, "customer").project("c_custkey", "c_nationkey", (F.col("c_acctbal") * 2).alias("twice")).filter("twice > 9000").sort_by(F.col("twice").desc(), "c_custkey").limit(100).execute()
-
-
 def project_then_filter_all(spark, d):
     return _q(spark, d, "customer").project("c_custkey", "c_nationkey", (F.col("c_acctbal") * 2).alias("twice")).filter("twice > 9000").sort_by(F.col("twice").desc(), "c_custkey").execute()
 
@@ -126,6 +118,33 @@ def join_type_mismatch(spark, d):
     return _q(spark, d, "nation").project("n_nationkey", "n_regionkey").join_left(table(spark, d, "region").select(F.col("r_regionkey").cast("double").alias("rk"), "r_name"), 2, "n_regionkey", "rk")
 
 
+def join_int_widths(spark, d):
+    """All integers are one kind of key."""
+    left = _q(spark, d, "customer").project("c_custkey", F.col("c_nationkey").cast("bigint").alias("k"))
+    return left.join_inner(table(spark, d, "nation").select(F.col("n_nationkey").cast("smallint").alias("nk"), "n_name"), "k", "nk")
+
+
+def join_float_widths(spark, d):
+    """So are both floating point types."""
+    left = _q(spark, d, "nation").project("n_nationkey", (F.col("n_regionkey") * 0.5).cast("float").alias("k"))
+    return left.join_left(table(spark, d, "region").where("r_regionkey > 1").select((F.col("r_regionkey") * 0.5).cast("double").alias("rk"), "r_name"), 2, "k", "rk").withColumn("k", F.col("k").cast("double"))
+
+
+def registry_names(spark, d):
+    """Numbers of functions of a fresh registry, before and after one is registered."""
+    r = FunctionRegistry()
+    before = {k: len(v) for k, v in r.names().items()}
+    r.register_scalar("own", lambda columns, kinds, **_: columns[0])
+    return spark.createDataFrame([(k, before[k], len(v)) for k, v in r.names().items()], "kind string, known long, own long")
+
+
+def exported_names(spark, d):
+    """What the package offers by name."""
+    import quarry
+
+    return spark.createDataFrame([(n,) for n in ("Query", "query", "query_project", "registry", "FunctionRegistry") if hasattr(quarry, n)], "name string")
+
+
 def _win(function, *args, cast=None):
     def run(spark, d):
         q = _q(spark, d, "orders").project("o_orderkey", "o_custkey", F.col("o_orderdate").cast("date").alias("day"), "o_totalprice")
@@ -142,7 +161,7 @@ def udf_scalar_custom(spark, d):
 
 
 def _squares():
-    return aggregates.folded(F.lit(0.0), lambda a, x: a + (x * x).cast("double"))
+    return aggregates.combined(lambda x: (x * x).cast("double"), F.sum, lambda total: F.coalesce(total, F.lit(0.0)))
 
 
 def udaf_sum_squares(spark, d):
@@ -166,12 +185,10 @@ _DAYS = "over (partition by o_custkey order by isodow(day))"
 _ENTRIES = {
     "scan_filter": (scan_filter, "select o_orderkey, o_custkey, o_totalprice from orders where o_totalprice >= 200000"),
     "filter_multi": (filter_multi, "select l_orderkey, l_linenumber, l_quantity from lineitem where l_quantity > 25 and l_discount <= 0.05 and l_returnflag = 'R'"),
-    "sort_multi_key": (sort_multi_key, "select c_custkey, c_mktsegment, c_acctbal from customer order by c_mktsegment, c_acctbal desc, c_custkey limit 500"),
     "sort_multi_key_all": (sort_multi_key_all, "select c_custkey, c_mktsegment, c_acctbal from customer order by c_mktsegment, c_acctbal desc, c_custkey"),
     "topk": (topk, "select o_orderkey, o_custkey, o_totalprice from orders where o_totalprice >= 1000 order by o_totalprice desc, o_orderkey limit 20 offset 5"),
     "offset_limit": (offset_limit, "select p_partkey, p_name from part order by p_partkey limit 50 offset 100"),
     "project_expr": (project_expr, "select l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount), 4) as net from lineitem"),
-    "project_then_filter": (project_then_filter, "select c_custkey, c_nationkey, c_acctbal * 2 as twice from customer where c_acctbal * 2 > 9000 order by twice desc, c_custkey limit 100"),
     "project_then_filter_all": (project_then_filter_all, "select c_custkey, c_nationkey, c_acctbal * 2 as twice from customer where c_acctbal * 2 > 9000 order by twice desc, c_custkey"),
     "query_helper": (query_helper, "select * from nation where n_regionkey = 1 order by n_name desc limit 3"),
     "agg_count_with_nulls": (_agg("count"), f"select count(*) as value from (select {_X} as x from lineitem)"),
@@ -195,6 +212,10 @@ _ENTRIES = {
     "join_null_safe": (join_null_safe, "select n_nationkey, k, rk, r_name from (select n_nationkey, nullif(n_regionkey, 2) as k from nation) join (select nullif(r_regionkey, 2) as rk, r_name from region) on k is not distinct from rk"),
     "join_after_filter": (join_after_filter, "select o_orderkey, o_custkey, c_custkey, c_mktsegment from (select o_orderkey, o_custkey from orders where o_totalprice > 250000 order by o_totalprice desc, o_orderkey limit 200) join customer on o_custkey = c_custkey"),
     "join_type_mismatch": (join_type_mismatch, "select n_nationkey, n_regionkey, cast(null as double) as rk, cast(null as varchar) as r_name from nation"),
+    "join_int_widths": (join_int_widths, "select c_custkey, cast(c_nationkey as bigint) as k, cast(n_nationkey as smallint) as nk, n_name from customer join nation on c_nationkey = n_nationkey"),
+    "join_float_widths": (join_float_widths, "select n_nationkey, n_regionkey * 0.5::double as k, rk, r_name from nation left join (select r_regionkey * 0.5::double as rk, r_name from region where r_regionkey > 1) on n_regionkey * 0.5::double = rk"),
+    "registry_names": (registry_names, "select * from (values ('scalar', cast(41 as bigint), cast(42 as bigint)), ('aggregate', 11, 11), ('window', 11, 11)) v(kind, known, own)"),
+    "exported_names": (exported_names, "select unnest(['Query', 'query', 'query_project', 'registry', 'FunctionRegistry']) as name"),
     "win_row_number": (_win("row_number"), _WIN.format(f=f"row_number() {_ROWS}")),
     "win_rank": (_win("rank", cast="long"), _WIN.format(f=f"rank() {_DAYS}")),
     "win_dense_rank": (_win("dense_rank", cast="long"), _WIN.format(f=f"dense_rank() {_DAYS}")),

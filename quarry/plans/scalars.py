@@ -93,6 +93,25 @@ _ENTRIES = {
     "dt_weekday": (_time("orders", "o_orderkey", value=("date", [_TEXT], {"modifiers": ["weekday 2"]})), _sql("orders", "o_orderkey", value="strftime(o_orderdate + to_days(cast((2 - dayofweek(o_orderdate) + 7) % 7 as integer)), '%Y-%m-%d')")),
     "dt_strftime": (_time("orders", "o_orderkey", value=("strftime", [_TEXT], {"form": "%Y/%m/%d %H:%M:%S %j %w %u %%"})), _sql("orders", "o_orderkey", value="strftime(o_orderdate, '%Y/%m/%d %H:%M:%S %j %w %u %%')")),
     "dt_strftime_clock": (_time("orders", "o_orderkey", value=("strftime", [_TEXT], {"form": "%I %p %F %T %R"})), _sql("orders", "o_orderkey", value="strftime(o_orderdate, '%I %p %Y-%m-%d %H:%M:%S %H:%M')")),
+    "dt_strftime_codes": (
+        _time("events", "event_id", value=("strftime", [_EVENT], {"form": "%e|%f|%g|%G|%k|%l|%P|%s|%U|%V|%W|%M"}), none=("strftime", [_EVENT], {"form": "%Y %Q"}), cut=("strftime", [_EVENT], {"form": "%Y %"})),
+        _sql(
+            "events",
+            "event_id",
+            value="strftime(ts, '%-d|%S.%g|%y|%Y|%-H|%-I|') || lower(strftime(ts, '%p')) || '|' || cast(epoch_us(ts) // 1000000 as varchar) || printf('|%02d|%02d|%02d|', (dayofyear(ts) + 5) // 7, (dayofyear(ts) + 2) // 7, (dayofyear(ts) - 1) // 7) || strftime(ts, '%M')",
+            none="cast(null as varchar)",
+            cut="cast(null as varchar)",
+        ),
+    ),
+    "dt_strftime_julian": (
+        lambda spark, d: _time("events", "event_id", value=("strftime", [_EVENT], {"form": "%J"}))(spark, d).withColumn("value", F.round(F.col("value").cast("double"), 6)),
+        _sql("events", "event_id", value="round(epoch_us(ts) // 1000 / 86400000.0 + 2440587.5, 6)"),
+    ),
+    "dt_timediff_clock": (
+        _time("events", "event_id", value=("timediff", [_EVENT, "'2024-01-15 13:14:15.678'"])),
+        "select event_id, case when ms < 0 then '-' else '+' end || printf('%04d-%02d-%02d %02d:%02d:%02d.%03d', abs(ms) // 86400000 // 365, abs(ms) // 86400000 % 365 // 30, abs(ms) // 86400000 % 365 % 30, abs(ms) // 3600000 % 24, abs(ms) // 60000 % 60, abs(ms) // 1000 % 60, abs(ms) % 1000) as value "
+        "from (select event_id, epoch_us(ts) // 1000 - epoch_us(timestamp '2024-01-15 13:14:15.678') // 1000 as ms from events)",
+    ),
     "dt_timediff": (
         _time("orders", "o_orderkey", value=("timediff", [_DAY, "'1995-01-01'"])),
         "select o_orderkey, case when s < 0 then '-' else '+' end || printf('%04d-%02d-%02d 00:00:00.000', n // 365, n % 365 // 30, n % 30) as value from (select o_orderkey, datediff('day', date '1995-01-01', cast(o_orderdate as date)) as s, abs(s) as n from orders)",

@@ -2,9 +2,12 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .contracts import CatalogStore, Index, RowStore
+from .index import RowIndex
 from .store import MemoryCatalog, TableStore
+from .viewer import Viewer
 
-__all__ = ["MemoryCatalog", "TableStore", "table"]
+__all__ = ["CatalogStore", "Index", "MemoryCatalog", "RowIndex", "RowStore", "TableStore", "Viewer", "table"]
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:

@@ -1,16 +1,23 @@
 """A table store on Parquet: declared schemas, versions, atomic commits.
 
 A store is a folder that driver and executors share. Each commit is one manifest, written whole and moved into
-place under the next number; a reader sees the last one. A table is a list of segments (folders of Parquet files),
-each with its range of row numbers, so a lookup by number reads one segment and an insert
-writes one. Key filters and ranges are pushed into the scan; segments are sorted by the primary key
-within files, so row groups are skipped by their statistics.
+place under the next number; a reader sees the last one and needs no lock. A table is a list of segments (folders of
+Parquet files) of at most ``SEGMENT_ROWS`` rows, each with its range of row numbers and of primary keys. So a lookup, a key
+check or a changed cell touches only the segments that may hold the row. Key filters and ranges are pushed into
+the scan; segments are sorted by the primary key within files, so row groups are skipped by their statistics.
+
+One writer at a time holds the lock, a lease: it is free again when its holder closes the store, is no more, or has not committed
+for ``LEASE_SECONDS``. A writer that has lost its lease commits nothing.
 """
 
 from __future__ import annotations
 
 import json
+import os
+import socket
+import time
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -19,8 +26,14 @@ from pyspark.sql import types as T
 from ..errors import CorruptData, InvalidOperation, Locked, TableNotFound, Unsupported
 from ..operators.query import ROW_INDEX
 from ..schema import MAX_TABLES, TYPES, TableSchema, check_name, type_of
+from .contracts import CatalogStore, RowStore
+from .index import RowIndex
 
 _DIGITS = 12
+#: Rows of a segment, and seconds after which a silent writer's lock is free.
+SEGMENT_ROWS, LEASE_SECONDS = 1_000_000, 600
+#: Holders of this process that are still in use.
+_LIVE: weakref.WeakValueDictionary[str, TableStore] = weakref.WeakValueDictionary()
 
 
 class Files:
@@ -50,6 +63,12 @@ class Files:
         stream.write(bytearray(text.encode()))
         stream.close()
 
+    def replace(self, path: str, text: str) -> None:
+        """A file with new contents."""
+        stream = self.fs.create(self.path(path), True)
+        stream.write(bytearray(text.encode()))
+        stream.close()
+
     def rename(self, old: str, new: str) -> bool:
         return not self.exists(new) and self.fs.rename(self.path(old), self.path(new))
 
@@ -57,16 +76,19 @@ class Files:
         self.fs.delete(self.path(path), True)
 
 
-class TableStore:
-    """Tables of a folder; one writer at a time."""
+class TableStore(CatalogStore, RowStore):
+    """Tables of a folder; one writer at a time, any number of readers (``read_only``)."""
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, read_only: bool = False):
+        self.spark, self.root, self.read_only = spark, root.rstrip("/"), read_only
         self.files = Files(spark, self.root)
-        try:
-            self.files.write(f"{self.root}/LOCK", uuid.uuid4().hex)
-        except Exception as e:
-            raise Locked(self.root) from e
+        self.holder = uuid.uuid4().hex
+        if not read_only:
+            self._lock()
+        self.refresh()
+
+    def refresh(self) -> None:
+        """Sees what has been committed since."""
         found = sorted(n for n in self.files.names(f"{self.root}/manifests") if n.isdigit())
         self.version = int(found[-1]) if found else 0
         try:
@@ -80,12 +102,63 @@ class TableStore:
     def __exit__(self, *_) -> None:
         self.close()
 
+    # The writer's lock
+
+    def _lock_text(self) -> str:
+        return json.dumps({"holder": self.holder, "host": socket.gethostname(), "pid": os.getpid(), "time": time.time()})
+
+    def _held(self) -> dict:
+        """What the lock says; nothing where there is none or it is not whole."""
+        try:
+            return json.loads(self.files.read(f"{self.root}/LOCK"))
+        except Exception:
+            return {}
+
+    @staticmethod
+    def _is_gone(lock: dict) -> bool:
+        """Whether a lock's holder is no more, or silent for too long."""
+        if time.time() - lock.get("time", 0.0) > LEASE_SECONDS:
+            return True
+        if lock.get("host") != socket.gethostname():
+            return False
+        if lock.get("pid") == os.getpid():
+            return lock.get("holder") not in _LIVE
+        try:
+            os.kill(int(lock["pid"]), 0)
+        except ProcessLookupError:
+            return True
+        except OSError:
+            pass
+        return False
+
+    def _lock(self) -> None:
+        path = f"{self.root}/LOCK"
+        if self.files.exists(path):
+            lock = self._held()
+            if not self._is_gone(lock):
+                raise Locked(self.root)
+            # Of several that find it free, the one that moves it away takes it.
+            aside = f"{self.root}/.lock-{uuid.uuid4().hex}"
+            if not self.files.rename(path, aside):
+                raise Locked(self.root)
+            self.files.delete(aside)
+        try:
+            self.files.write(path, self._lock_text())
+        except Exception as e:
+            raise Locked(self.root) from e
+        _LIVE[self.holder] = self
+
     def _commit(self, tables: dict) -> None:
+        if self.read_only:
+            raise Unsupported("opened for reading")
+        if self._held().get("holder") != self.holder:
+            raise Locked(f"{self.root}: the lease is lost")
         name, temporary = f"{self.version + 1:0{_DIGITS}d}", f"{self.root}/manifests/.{uuid.uuid4().hex}"
         self.files.write(temporary, json.dumps(tables))
         if not self.files.rename(temporary, f"{self.root}/manifests/{name}"):
             raise Locked(f"version {name} is taken")
         self.version, self.tables = self.version + 1, tables
+        self.files.replace(f"{self.root}/LOCK", self._lock_text())
 
     def _table(self, name: str) -> dict:
         if name not in self.tables:
@@ -152,10 +225,27 @@ class TableStore:
 
     def get_row_by_key(self, name: str, key) -> Row | None:
         """The row of a primary key; none without a key column, for a null, and on a miss."""
-        pk = self.schema(name).primary_key
+        return self.rows_by_key(name, key).first()
+
+    def rows_by_key(self, name: str, key) -> DataFrame:
+        """As ``get_row_by_key``, as a table of one row or none. Only segments whose range of keys holds the key are read."""
+        schema = self.schema(name)
+        pk = schema.primary_key
         if pk is None or key is None or type_of(key) != pk.kind:
-            return None
-        return self.scan(name).where(F.col(f"`{pk.name}`") == F.lit(key)).drop(ROW_INDEX).first()
+            return self._read(schema, []).drop(ROW_INDEX)
+        return self._read(schema, self._near(name, key, key)).where(F.col(f"`{pk.name}`") == F.lit(key)).drop(ROW_INDEX)
+
+    def row_count(self, name: str) -> int:
+        return sum(s["end"] - s["first"] for s in self._table(name)["segments"])
+
+    def rows_between(self, name: str, start: int, end: int) -> DataFrame:
+        """Rows with numbers start to end - 1, in order; only their segments are read."""
+        near = [s for s in self._table(name)["segments"] if s["first"] < end and start < s["end"]]
+        return self._read(self.schema(name), near).where(F.col(ROW_INDEX).between(start, end - 1)).orderBy(ROW_INDEX)
+
+    def _near(self, name: str, low, high) -> list[dict]:
+        """The segments that may hold a key from low to high."""
+        return [s for s in self._table(name)["segments"] if s.get("low") is None or not (s["high"] < low or high < s["low"])]
 
     def range_scan(self, name: str, start, end) -> DataFrame:
         """Rows with start <= key < end, in key order."""
@@ -163,38 +253,58 @@ class TableStore:
         if pk is None:
             raise Unsupported(f"{name} has no key")
         key = F.col(f"`{pk.name}`")
-        return self.scan(name).where((key >= F.lit(start)) & (key < F.lit(end))).orderBy(key).drop(ROW_INDEX)
+        return self._read(self.schema(name), self._near(name, start, end)).where((key >= F.lit(start)) & (key < F.lit(end))).orderBy(key).drop(ROW_INDEX)
+
+    def row_index(self, name: str, column: int | str) -> RowIndex:
+        """An index of a column, for lookups and changes."""
+        c = self.schema(name)[column]
+        return RowIndex.of(self.scan(name), c.name, ROW_INDEX, c.kind)
 
     def index(self, name: str, column: int | str) -> DataFrame:
         """Each non-null value with the numbers of its rows in order."""
-        c = self.schema(name)[column].name
-        rows = self.scan(name).where(F.col(f"`{c}`").isNotNull())
-        return rows.groupBy(F.col(f"`{c}`").alias("key")).agg(F.array_sort(F.collect_set(ROW_INDEX)).alias("rows"))
+        return self.row_index(name, column).groups()
 
     # Writes
 
-    def _segment(self, schema: TableSchema, df: DataFrame, first: int) -> tuple[dict | None, int]:
-        """Writes rows with numbers from ``first`` on; the segment and the number after its last row."""
-        staged, path = f"{self.root}/data/.{uuid.uuid4().hex}", uuid.uuid4().hex
+    def _staged(self, schema: TableSchema, df: DataFrame) -> tuple[str, DataFrame]:
+        """The rows written once, so that checks and numbering read what is there; ``_q_id`` holds task and place."""
         keep = [c.name for c in schema.columns if c.kind != "NULL"]
         if not keep:
             raise Unsupported("a table of nulls alone")
-        df.select(F.monotonically_increasing_id().alias("_q_id"), *(F.col(f"`{c}`") for c in keep)).write.parquet(staged)
-        rows = self.spark.read.parquet(staged).withColumn("_q_part", F.shiftright("_q_id", 33))
+        path = f"{self.root}/data/.{uuid.uuid4().hex}"
+        df.select(F.monotonically_increasing_id().alias("_q_id"), *(F.col(f"`{c}`") for c in keep)).write.parquet(path)
+        rows = self.spark.read.schema(T.StructType([T.StructField("_q_id", T.LongType()), *(f for f in schema.to_struct() if not isinstance(f.dataType, T.NullType))])).parquet(path)
+        return path, rows.select("_q_id", *(F.col(f"`{c.name}`") if c.kind != "NULL" else F.lit(None).alias(c.name) for c in schema.columns))
+
+    def _segments(self, schema: TableSchema, rows: DataFrame, first: int) -> tuple[list[dict], int]:
+        """Staged rows with numbers from ``first`` on as segments, and the number after the last row."""
+        rows, path = rows.withColumn("_q_part", F.shiftright("_q_id", 33)), uuid.uuid4().hex
         # One row for each partition that was written.
         counts = sorted((r["_q_part"], r["n"]) for r in rows.groupBy("_q_part").agg(F.count(F.lit(1)).alias("n")).collect())
         offsets, at = [], first
         for part, n in counts:
             offsets.append((part, at))
             at += n
-        if offsets:
-            base = self.spark.createDataFrame(offsets, "_q_part long, _q_first long")
-            number = (F.col("_q_first") + F.col("_q_id").bitwiseAND((1 << 33) - 1)).alias(ROW_INDEX)
-            out = rows.join(F.broadcast(base), "_q_part").select(number, *(F.col(f"`{c}`") for c in keep))
-            pk = schema.primary_key
-            out.sortWithinPartitions(f"`{pk.name}`" if pk else ROW_INDEX).write.parquet(f"{self.root}/data/{path}")
-        self.files.delete(staged)
-        return ({"path": path, "first": first, "end": at} if offsets else None), at
+        if not offsets:
+            return [], at
+        base = self.spark.createDataFrame(offsets, "_q_part long, _q_first long")
+        number = (F.col("_q_first") + F.col("_q_id").bitwiseAND((1 << 33) - 1)).alias(ROW_INDEX)
+        keep = [F.col(f"`{c.name}`") for c in schema.columns if c.kind != "NULL"]
+        out = rows.join(F.broadcast(base), "_q_part").select(number, *keep)
+        out = out.withColumn("_q_segment", F.floor((F.col(ROW_INDEX) - first) / SEGMENT_ROWS).cast("int"))
+        pk = schema.primary_key
+        out.sortWithinPartitions("_q_segment", f"`{pk.name}`" if pk else ROW_INDEX).write.partitionBy("_q_segment").parquet(f"{self.root}/data/{path}")
+        bounds = {}
+        if pk and pk.kind != "BLOB":
+            # One row for each segment.
+            key = F.col(f"`{pk.name}`")
+            found = self.spark.read.schema(T.StructType([pk.to_field(), T.StructField("_q_segment", T.IntegerType())])).parquet(f"{self.root}/data/{path}")
+            bounds = {r["_q_segment"]: (r["low"], r["high"]) for r in found.groupBy("_q_segment").agg(F.min(key).alias("low"), F.max(key).alias("high")).collect()}
+        segments = []
+        for k, start in enumerate(range(first, at, SEGMENT_ROWS)):
+            low, high = bounds.get(k, (None, None))
+            segments.append({"path": f"{path}/_q_segment={k}", "first": start, "end": min(at, start + SEGMENT_ROWS), "low": low, "high": high})
+        return segments, at
 
     def _rows(self, schema: TableSchema, rows) -> DataFrame:
         if isinstance(rows, DataFrame):
@@ -204,18 +314,40 @@ class TableStore:
             schema.validate_values(list(r))
         return self.spark.createDataFrame(rows, T.StructType([T.StructField(c.name, TYPES[c.kind], True) for c in schema.columns])).coalesce(1)
 
-    def insert(self, name: str, rows) -> None:
-        """Appends rows (a DataFrame or sequences of values) if all constraints hold; else nothing changes."""
+    def insert(self, name: str, rows, unique_columns: bool = False, references: bool = False) -> None:
+        """Appends rows (a DataFrame or sequences of values) if all constraints hold; else nothing changes.
+
+        Primary keys are held against those segments alone whose range of keys the new ones touch. ``unique_columns`` and
+        ``references`` also hold UNIQUE columns and foreign keys to the whole tables.
+        """
         entry, schema = self._table(name), self.schema(name)
         df = self._rows(schema, rows)
-        schema.validate(df)
-        schema.validate_keys(df, self.scan(name) if entry["segments"] else None)
-        segment, end = self._segment(schema, df, entry["next_row"])
-        if segment:
-            self._commit(self.tables | {name: entry | {"segments": [*entry["segments"], segment], "next_row": end}})
+        schema.check_types(df)
+        path, staged = self._staged(schema, df)
+        try:
+            new = staged.drop("_q_id")
+            schema.validate(new)
+            pk = schema.primary_key
+            if entry["segments"] and unique_columns:
+                schema.validate_keys(new, self.scan(name), True)
+            elif entry["segments"] and pk:
+                key = F.col(f"`{pk.name}`")
+                low, high = new.agg(F.min(key), F.max(key)).first()
+                near = self._near(name, low, high) if low is not None and pk.kind != "BLOB" else entry["segments"]
+                old = self._read(schema, near)
+                schema.validate_keys(new, old.where(key.between(F.lit(low), F.lit(high))) if near and pk.kind != "BLOB" and low is not None else old)
+            else:
+                schema.validate_keys(new, None, unique_columns)
+            if references:
+                schema.validate_references(new, {c.foreign_key.table: self.scan(c.foreign_key.table) for c in schema.columns if c.foreign_key})
+            segments, end = self._segments(schema, staged, entry["next_row"])
+        finally:
+            self.files.delete(path)
+        if segments:
+            self._commit(self.tables | {name: entry | {"segments": [*entry["segments"], *segments], "next_row": end}})
 
     def set_cell(self, name: str, row: int, column: int | str, value) -> None:
-        """Changes one value; only the row's segment is written anew."""
+        """Changes one value; the row's segment, of at most ``SEGMENT_ROWS`` rows, is written anew."""
         entry, schema = self._table(name), self.schema(name)
         c = schema[column]
         near = [s for s in entry["segments"] if s["first"] <= row < s["end"]]
@@ -227,22 +359,31 @@ class TableStore:
         changed = [value if k == schema.index(column) else v for k, v in enumerate(values)]
         schema.validate_values(changed)
         schema.validate(self._rows(schema, [changed]))
+        segment = near[0]
         if c.primary_key:
-            schema.validate_keys(self._rows(schema, [changed]), self.scan(name).where(F.col(ROW_INDEX) != row))
+            others = self._read(schema, self._near(name, value, value) if c.kind != "BLOB" else entry["segments"])
+            schema.validate_keys(self._rows(schema, [changed]), others.where(F.col(ROW_INDEX) != row))
+            if segment.get("low") is not None:
+                segment = segment | {"low": min(segment["low"], value), "high": max(segment["high"], value)}
         path = uuid.uuid4().hex
         out = old.withColumn(c.name, new)
         out.select(ROW_INDEX, *(F.col(f"`{x.name}`") for x in schema.columns if x.kind != "NULL")).sortWithinPartitions(f"`{schema.primary_key.name}`" if schema.primary_key else ROW_INDEX).write.parquet(f"{self.root}/data/{path}")
-        segments = [s | {"path": path} if s is near[0] else s for s in entry["segments"]]
+        segments = [segment | {"path": path} if s is near[0] else s for s in entry["segments"]]
         self._commit(self.tables | {name: entry | {"segments": segments}})
 
     def replace_rows(self, name: str, rows) -> None:
         """All rows anew, numbered from 0; also the way to delete."""
         entry, schema = self._table(name), self.schema(name)
         df = self._rows(schema, rows)
-        schema.validate(df)
-        schema.validate_keys(df)
-        segment, end = self._segment(schema, df, 0)
-        self._commit(self.tables | {name: entry | {"segments": [segment] if segment else [], "next_row": end}})
+        schema.check_types(df)
+        path, staged = self._staged(schema, df)
+        try:
+            schema.validate(staged.drop("_q_id"))
+            schema.validate_keys(staged.drop("_q_id"))
+            segments, end = self._segments(schema, staged, 0)
+        finally:
+            self.files.delete(path)
+        self._commit(self.tables | {name: entry | {"segments": segments, "next_row": end}})
 
     def delete_by_key(self, name: str, key) -> None:
         """Removes a primary key's row; the others keep their order."""
@@ -257,8 +398,12 @@ class TableStore:
         """Removes data and manifests that the current version does not use."""
         used = {s["path"] for t in self.tables.values() for s in t["segments"]}
         for n in self.files.names(f"{self.root}/data"):
-            if n not in used:
-                self.files.delete(f"{self.root}/data/{n}")
+            if n in used:
+                continue
+            parts = [p for p in self.files.names(f"{self.root}/data/{n}") if p.startswith("_q_segment=")]
+            unused = [p for p in parts if f"{n}/{p}" not in used]
+            for p in [f"{n}/{p}" for p in unused] if len(unused) < len(parts) else [n]:
+                self.files.delete(f"{self.root}/data/{p}")
         for n in self.files.names(f"{self.root}/manifests"):
             if n != f"{self.version:0{_DIGITS}d}":
                 self.files.delete(f"{self.root}/manifests/{n}")
@@ -267,10 +412,12 @@ class TableStore:
         """Commits are durable when they return."""
 
     def close(self) -> None:
-        self.files.delete(f"{self.root}/LOCK")
+        _LIVE.pop(self.holder, None)
+        if not self.read_only and self._held().get("holder") == self.holder:
+            self.files.delete(f"{self.root}/LOCK")
 
 
-class MemoryCatalog:
+class MemoryCatalog(CatalogStore):
     """Tables' schemas alone, in memory; every operation on rows is unsupported."""
 
     def __init__(self):

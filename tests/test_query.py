@@ -85,6 +85,9 @@ def test_percentiles(spark):
     df = spark.createDataFrame([(x,) for x in range(1, 6)], "x long")
     assert one(Query(df).aggregate(aggregates.percentile_cont(0.25), "x")) == 2.0
     assert [one(Query(df).aggregate(aggregates.percentile_disc(p), "x")) for p in (0.0, 0.5, 0.61, 1.0)] == [1.0, 3.0, 4.0, 5.0]
+    with pytest.raises(InvalidOperation):
+        df.agg(aggregates.percentile_disc(0.5)(F.col("x") + 1, df.schema[0].dataType))
+    assert one(Query(df).aggregate(aggregates.percentile_disc(0.5), F.col("x") + 1)) == 4.0
     with pytest.raises(InvalidOperation):
         aggregates.percentile_cont(1.5)(F.col("x"), df.schema[0].dataType)
 
@@ -106,6 +109,8 @@ def test_joins(spark):
     assert [r["amount"] for r in left if r["name"] == "Eve"] == [None]
     with pytest.raises(InvalidOperation):
         Query(customers).join_left(orders, 2, "id", "customer_id")
+    narrow = spark.createDataFrame([(1,)], "i smallint")
+    assert [r["name"] for r in Query(customers).join_inner(narrow, "id", "i").collect()] == ["Alice"]
     other = spark.createDataFrame([(1.0,)], "d double")
     assert Query(customers).join_inner(other, "id", "d").count() == 0
 
