@@ -12,7 +12,8 @@ first of them alone, which both vectors tell, so counts need no list of pairs.
 
 Vectors that are null, empty or zero, or hold null or non-finite components, link with nothing; vectors of
 different lengths never link. A null ``vec_id`` counts as a vector of its own, with itself (null) as component. Repeated
-rows are separate vectors with one id.
+rows are separate vectors with one id: each links to the others. Ties need no order: a component is named by its least id. An empty table
+gives no rows; columns other than ``vec_id`` and ``embedding`` are ignored.
 """
 
 from __future__ import annotations
@@ -25,12 +26,14 @@ from pyspark.sql import functions as F
 
 from .common import written
 from .components import connected_components
-from .grouping import blocked, labels_of, sorted_groups
+from .grouping import BLOCK_MEMBERS, blocked, labels_of, sorted_groups
 
 MIN_COSINE = 0.95
 WIDTH = 1.0
 RECALL = 0.97
 SEED = 11
+#: Groups of at most SMALL members are compared together, in lots of about LOT_ROWS; pairs of vectors held at once.
+SMALL, LOT_ROWS, PAIRS = 24, 8192, 50_000
 
 
 def collision(distance: float, width: float = WIDTH) -> float:
@@ -75,8 +78,31 @@ def _by_length(column):
     return [np.nonzero(lengths == n)[0] for n in np.unique(lengths)]
 
 
-def linked_vectors(spark: SparkSession, vectors: DataFrame, min_cosine: float = MIN_COSINE) -> DataFrame:
-    """vec_id, n_links, component_id and kept of every row of (vec_id, embedding)."""
+def close_pairs(unit: np.ndarray, min_cosine: float):
+    """Lots of pairs a < b of unit vectors with at least this cosine."""
+    for start in range(0, len(unit), 256):
+        a, b = np.nonzero(unit[start : start + 256] @ unit[start:].T >= min_cosine)
+        keep = a < b
+        a, b = a[keep] + start, b[keep] + start
+        for lot in range(0, len(a), PAIRS):
+            yield a[lot : lot + PAIRS], b[lot : lot + PAIRS]
+
+
+def close_in_groups(unit: np.ndarray, key: np.ndarray, min_cosine: float):
+    """The same within each run of equal keys, all small runs at once."""
+    new = np.append(True, key[1:] != key[:-1])
+    end = np.append(np.nonzero(new)[0][1:], len(key))[np.cumsum(new) - 1]
+    count = end - np.arange(len(key)) - 1
+    a = np.repeat(np.arange(len(key)), count)
+    b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(count) - count, count)
+    for lot in range(0, len(a), PAIRS):
+        i, j = a[lot : lot + PAIRS], b[lot : lot + PAIRS]
+        close = np.einsum("ij,ij->i", unit[i], unit[j]) >= min_cosine
+        yield i[close], j[close]
+
+
+def linked_vectors(spark: SparkSession, vectors: DataFrame, min_cosine: float = MIN_COSINE, block: int = BLOCK_MEMBERS, small: int = SMALL) -> DataFrame:
+    """vec_id, n_links, component_id and kept of every row of (vec_id, embedding); ``block``: members of a bucket that are one block."""
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf")))
     fine = F.col("v").isNotNull() & ~F.exists("v", bad) & F.exists("v", lambda x: x != 0) & F.col("vec_id").isNotNull()
@@ -98,46 +124,56 @@ def linked_vectors(spark: SparkSession, vectors: DataFrame, min_cosine: float =
     def compare(batches):
         import pyarrow as pa
 
-        for group in sorted_groups(batches):
-            if group.num_rows < 2:
-                continue
-            key = group.column("key")[0].as_py()
-            table = group.combine_chunks()
-            v = table.column("v").chunk(0)
-            out = []
+        def found_in(table, apart):
+            """Links of one lot of small groups, or of one group (``apart``: cut into blocks)."""
+            table = table.combine_chunks()
+            v, columns = table.column("v").chunk(0), {c: table.column(c).to_numpy() for c in ("key", "rep", "n", "own", "b1", "b2")}
             for at in _by_length(v):
                 if len(at) < 2:
                     continue
                 unit = _unit(v.take(pa.array(at)))
-                reps, n, own = (table.column(c).to_numpy()[at] for c in ("rep", "n", "own"))
-                one_block = group.column("b1")[0].as_py() == group.column("b2")[0].as_py()
-                keys = bucket_keys(unit, k, tables)
-                here = int(np.nonzero((keys == key).all(axis=0))[0][0]) if (keys == key).all(axis=0).any() else 0
+                key, rep, n, own, b1, b2 = (columns[c][at] for c in ("key", "rep", "n", "own", "b1", "b2"))
+                pairs = close_pairs(unit, min_cosine) if apart else close_in_groups(unit, key, min_cosine)
                 links, left, right = np.zeros(len(at), dtype=np.int64), [], []
-                for start in range(0, len(at), 256):
-                    a, b = np.nonzero(unit[start : start + 256] @ unit.T >= min_cosine)
-                    a = a + start
-                    keep = (a != b) & (one_block | (own[a] != own[b]))
+                for a, b in pairs:
+                    keep = (own[a] != own[b]) | (b1[a] == b2[a])
                     a, b = a[keep], b[keep]
-                    first = np.ones(len(a), dtype=bool)
-                    for lot in range(0, len(a), 100_000):
-                        part = slice(lot, lot + 100_000)
-                        first[part] = ~(keys[a[part], :here] == keys[b[part], :here]).any(axis=1)
+                    if not len(a):
+                        continue
+                    # A pair counts in the first table in which it shares a bucket. Only linked vectors are hashed again.
+                    used, local = np.unique(np.concatenate([a, b]), return_inverse=True)
+                    keys = bucket_keys(unit[used], k, tables)
+                    i, j = local[: len(a)], local[len(a) :]
+                    first = keys[i, (keys[i] == keys[j]).argmax(axis=1)] == key[a]
                     a, b = a[first], b[first]
-                    links += np.bincount(a, weights=n[b], minlength=len(at)).astype(np.int64)
+                    np.add.at(links, a, n[b])
+                    np.add.at(links, b, n[a])
                     left.append(a)
                     right.append(b)
-                order = np.argsort(reps)
+                if not links.any():
+                    continue
+                order = np.argsort(rep, kind="stable")
                 rank = np.empty_like(order)
                 rank[order] = np.arange(len(order))
                 label = labels_of(len(at), rank[np.concatenate(left)], rank[np.concatenate(right)])
                 have = np.nonzero(links)[0]
-                out.append((reps[have], reps[order[label[rank[have]]]], links[have]))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["u", "v", "links"])
+                yield pa.RecordBatch.from_arrays([pa.array(rep[have]), pa.array(rep[order[label[rank[have]]]]), pa.array(links[have])], names=["u", "v", "links"])
+
+        held, size = [], 0
+        for group in sorted_groups(batches):
+            if group.num_rows > small:
+                yield from found_in(group, True)
+            elif group.num_rows > 1:
+                held.append(group)
+                size += group.num_rows
+                if size >= LOT_ROWS:
+                    yield from found_in(pa.concat_tables(held), False)
+                    held, size = [], 0
+        if held:
+            yield from found_in(pa.concat_tables(held), False)
 
     members = classes.select("rep", "v").mapInArrow(spread, "key long, rep long")
-    dealt = blocked(members, "key", F.col("rep"), attach=classes, on="rep").select("key", "b1", "b2", "own", "rep", "n", "v")
+    dealt = blocked(members, "key", F.col("rep"), block=block, attach=classes, on="rep").select("key", "b1", "b2", "own", "rep", "n", "v")
     found = written(spark, dealt.mapInArrow(compare, "u long, v long, links long"), "links")
     groups = connected_components(spark, found.select("u", "v"))
     counts = found.groupBy(F.col("u").alias("rep")).agg(F.sum("links").alias("links"))

@@ -392,6 +392,34 @@ def test_embeddings(spark):
     assert embeddings.linked_vectors(spark, spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+@pytest.mark.parametrize("block, small", [(2048, 24), (16, 24), (16, 2)])
+def test_planted_vectors_are_linked(spark, block, small):
+    """Pairs just above the least cosine, a crowd of near vectors in many blocks, and repeated vectors, against brute force."""
+    rng = np.random.default_rng(17)
+    unit = lambda n: (lambda x: x / np.linalg.norm(x, axis=1)[:, None])(rng.standard_normal((n, 48)))
+
+    def beside(x, cosine):
+        y = unit(len(x))
+        y -= x * (x * y).sum(axis=1)[:, None]
+        y /= np.linalg.norm(y, axis=1)[:, None]
+        return cosine * x + np.sqrt(1 - cosine**2) * y
+
+    base, centre = unit(600), unit(1)
+    crowd = beside(np.repeat(centre, 70, axis=0), 0.985)
+    v = np.concatenate([base, beside(base[:250], 0.952), beside(base[250:400], 0.945), crowd, np.repeat(base[:3], 4, axis=0)])
+    rows = [(k, x.tolist()) for k, x in enumerate(v)] + [(5, v[5].tolist())]
+    ids, every = np.array([k for k, _ in rows]), np.array([x for _, x in rows])
+    near = every @ every.T / np.outer(*[np.linalg.norm(every, axis=1)] * 2) >= 0.95
+    got = embeddings.linked_vectors(spark, spark.createDataFrame(rows, "vec_id long, embedding array<double>"), block=block, small=small).collect()
+    by_id = {r["vec_id"]: r for r in got}
+    want = {int(i): int(near[k].sum()) - 1 for k, i in enumerate(ids)}
+    assert len(got) == len(rows) and all(by_id[i]["n_links"] <= n for i, n in want.items())
+    assert sum(r["n_links"] for r in got) >= 0.95 * (near.sum() - len(rows))
+    crowded = range(1000, 1070)
+    assert {by_id[i]["component_id"] for i in crowded} == {1000} and sum(by_id[i]["n_links"] for i in crowded) >= 0.97 * sum(want[i] for i in crowded)
+    assert all(by_id[i]["component_id"] in (i, by_id[i - 600]["component_id"]) for i in range(600, 850))
+
+
 # Quality, mixing, secrets
 
 
