@@ -88,12 +88,12 @@ def close_pairs(unit: np.ndarray, min_cosine: float):
             yield a[lot : lot + PAIRS], b[lot : lot + PAIRS]
 
 
-def close_in_groups(unit: np.ndarray, key: np.ndarray, min_cosine: float):
-    """The same within each run of equal keys, all small runs at once."""
-    new = np.append(True, key[1:] != key[:-1])
-    end = np.append(np.nonzero(new)[0][1:], len(key))[np.cumsum(new) - 1]
-    count = end - np.arange(len(key)) - 1
-    a = np.repeat(np.arange(len(key)), count)
+def close_in_groups(unit: np.ndarray, names: tuple[np.ndarray, ...], min_cosine: float):
+    """The same within each run of rows with equal names, all small runs at once."""
+    new = np.append(True, np.any([x[1:] != x[:-1] for x in names], axis=0))
+    end = np.append(np.nonzero(new)[0][1:], len(unit))[np.cumsum(new) - 1]
+    count = end - np.arange(len(unit)) - 1
+    a = np.repeat(np.arange(len(unit)), count)
     b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(count) - count, count)
     for lot in range(0, len(a), PAIRS):
         i, j = a[lot : lot + PAIRS], b[lot : lot + PAIRS]
@@ -133,7 +133,7 @@ def linked_vectors(spark: SparkSession, vectors: DataFrame, min_cosine: float =
                     continue
                 unit = _unit(v.take(pa.array(at)))
                 key, rep, n, own, b1, b2 = (columns[c][at] for c in ("key", "rep", "n", "own", "b1", "b2"))
-                pairs = close_pairs(unit, min_cosine) if apart else close_in_groups(unit, key, min_cosine)
+                pairs = close_pairs(unit, min_cosine) if apart else close_in_groups(unit, (key, b1, b2), min_cosine)
                 links, left, right = np.zeros(len(at), dtype=np.int64), [], []
                 for a, b in pairs:
                     keep = (own[a] != own[b]) | (b1[a] == b2[a])
