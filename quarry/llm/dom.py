@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe".split())
@@ -22,7 +23,7 @@ _CLOSES = {
     "option": (("option",), ("select",)),
 }
 _P_SCOPE = ("button", "td", "th", "caption", "object")
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 
 
@@ -34,11 +35,30 @@ class Dom:
         self.texts: list[tuple[int, str]] = []
         #: Events in page order: element number opened (>= 0), closed (~number), or a text's place, as (kind, value).
         self.events: list[tuple[str, int]] = []
+        #: Places in the stack of open elements by tag, and of open blocks.
+        self._places: dict[str, list[int]] = {}
+        self._blocks: list[int] = []
         self._read(source)
 
+    def _open(self, stack: list[int], number: int) -> None:
+        tag = self.tags[number]
+        self._places.setdefault(tag, []).append(len(stack))
+        if tag in BLOCK:
+            self._blocks.append(len(stack))
+        stack.append(number)
+
     def _close(self, stack: list[int], upto: int) -> None:
         while len(stack) > upto:
-            self.events.append(("close", stack.pop()))
+            number = stack.pop()
+            self.events.append(("close", number))
+            if stack:
+                self._places[self.tags[number]].pop()
+                if self.tags[number] in BLOCK:
+                    self._blocks.pop()
+
+    def _last(self, tags) -> int:
+        """Place in the stack of the last open element of these tags; 0 where there is none."""
+        return max((self._places[t][-1] for t in tags if self._places.get(t)), default=0)
 
     def _text(self, stack: list[int], text: str) -> None:
         if text:
@@ -58,30 +78,20 @@ class Dom:
                 continue
             tag = m[2].lower()
             if m[1]:
-                for k in range(len(stack) - 1, 0, -1):
-                    if tags[stack[k]] == tag:
-                        self._close(stack, k)
-                        break
-                    if tag not in BLOCK and tags[stack[k]] in BLOCK:
-                        break  # an inline end tag does not reach beyond its block
+                at_tag = self._last((tag,))
+                # An inline end tag does not reach beyond its block.
+                if at_tag and (tag in BLOCK or not self._blocks or self._blocks[-1] < at_tag):
+                    self._close(stack, at_tag)
                 continue
-            if tag in BLOCK:
-                for k in range(len(stack) - 1, 0, -1):
-                    if tags[stack[k]] == "p":
-                        self._close(stack, k)
-                        break
-                    if tags[stack[k]] in _P_SCOPE:
-                        break
+            if tag in BLOCK and self._last(("p",)) > self._last(_P_SCOPE):
+                self._close(stack, self._last(("p",)))
             if tag in _CLOSES:
                 shut, scope = _CLOSES[tag]
-                lowest = None
-                for k in range(len(stack) - 1, 0, -1):
-                    if tags[stack[k]] in shut:
-                        lowest = k
-                    if tags[stack[k]] in scope:
-                        break
-                if lowest is not None:
-                    self._close(stack, lowest)
+                after = self._last(scope)
+                inside = [self._places[t] for t in shut if self._places.get(t)]
+                firsts = [places[k] for places in inside if (k := bisect_right(places, after)) < len(places)]
+                if firsts:
+                    self._close(stack, min(firsts))
             number = len(tags)
             tags.append(tag)
             self.parents.append(stack[-1])
@@ -91,11 +101,11 @@ class Dom:
                 self.events.append(("close", number))
             elif tag in RAW:
                 end = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(source, at)
-                stack.append(number)
+                self._open(stack, number)
                 if tag in ("title", "textarea"):
                     self._text(stack, source[at : end.start() if end else len(source)])
                 self._close(stack, len(stack) - 1)
                 at = end.end() if end else len(source)
             else:
-                stack.append(number)
+                self._open(stack, number)
         self._close(stack, 0)

@@ -5,10 +5,13 @@ link density of its subtree, punctuation, its parent's and siblings' statistics.
 to generated pages with known main texts give each element's log odds of holding or being main text.
 Decoding picks the best consistent choice: an element stays only if its parent does, so its worth is its own
 log odds plus what its children are worth where that is positive, from the leaves up; then, from the
-root down, what is worth nothing goes with all below it.
+root down, what is worth nothing goes with all below it. A phrase of running text, such as a link in a sentence, is never worth less than
+nothing, so a sentence stays or goes whole.
 
 Nulls: a null or empty page has an empty text; a null id or url stays. Broken markup is closed as browsers
-do in the common cases; nothing is dropped for size.
+do in the common cases; nothing is dropped for size, and pages are read in one pass however long or deeply nested. Repeated
+rows get one result each; equal choices (worth nothing either way) go. An empty table gives no rows; columns other than
+``page_id``, ``url`` and ``html`` are ignored.
 """
 
 from __future__ import annotations
@@ -39,6 +42,8 @@ _COMMENT = re.compile(r"(?<![a-z])(?:comments?|reply|replies|respond|discussion)
 _SPACE = re.compile(r"\s+")
 _MAIN_TAGS, _SIDE_TAGS = frozenset(("article", "main")), frozenset(("nav", "header", "footer", "aside", "form", "menu", "dialog", "search"))
 _LIST_TAGS, _HEADINGS = frozenset(("ul", "ol", "dl", "li", "table", "tr", "td")), frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
+#: Blocks that hold running text.
+_TEXT_TAGS = _HEADINGS | {"p", "li", "blockquote", "dd", "dt", "td", "th", "figcaption", "pre"}
 N_FEATURES = 26
 
 
@@ -96,11 +101,29 @@ def node_features(dom: Dom) -> np.ndarray:
     return out
 
 
+def in_sentences(dom: Dom) -> list[bool]:
+    """Whether an element is a phrase of running text: inline, with no attribute that speaks against it, in a block with more text outside links than inside."""
+    n = len(dom.tags)
+    block, linked, apart = [0] * n, [False] * n, [False] * n
+    plain, links = [0] * n, [0] * n
+    for k in range(1, n):
+        up, inline = dom.parents[k], dom.tags[k] not in BLOCK
+        block[k] = block[up] if inline else k
+        linked[k] = inline and (linked[up] or dom.tags[k] == "a")
+        apart[k] = inline and (apart[up] or bool(dom.attributes[k] and _AGAINST.search(dom.attributes[k].lower())))
+    for k, text in dom.texts:
+        (links if linked[k] else plain)[block[k]] += len(text.strip())
+    return [k > 0 and dom.tags[k] not in BLOCK and not apart[k] and dom.tags[block[k]] in _TEXT_TAGS and plain[block[k]] > links[block[k]] for k in range(n)]
+
+
 def choose(dom: Dom, odds: np.ndarray) -> list[bool]:
-    """The best choice in which an element stays only if its parent does."""
+    """The best choice in which an element stays only if its parent does, and a phrase of running text if its parent does."""
     n = len(dom.tags)
     worth = odds.tolist()
     worth[0] = 1e9
+    for k, phrase in enumerate(in_sentences(dom)):
+        if phrase:
+            worth[k] = max(worth[k], 1e-3)
     for k in range(n):
         if dom.tags[k] in NEVER:
             worth[k] = -1e9
@@ -198,7 +221,9 @@ class _Pages:
             if kind < 0.62:
                 text = self.sentences(1, 7) if r.random() < 0.8 else self.words(1, 4) + "."
                 if r.random() < 0.3:
-                    text = f'{text} <a href="/x">{self.words(1, 3)}</a> <em>{self.words(1, 2)}</em>, {self.sentences(1, 2)}'
+                    inner = r.choice(("{}", "{}", "<b>{}</b>", "<em>{}</em>", "<span>{}</span>", "<code>{}</code>")).format(self.words(1, 3))
+                    link = f'<a href="/x">{inner}</a>' if r.random() < 0.7 else r.choice(("<strong>{}</strong>", "<span>{}</span>")).format(inner)
+                    text = f"{text} {link} <em>{self.words(1, 2)}</em>, {self.sentences(1, 2)}"
                 out.append(r.choice((f"<p>{text}</p>", f"<p>{text}</p>", f"<p><b>{text}<br>", f"<div>{text}</div>")))
             elif kind < 0.7:
                 out.append(f"<h2>{self.words(1, 6)}</h2>")
@@ -229,8 +254,8 @@ class _Pages:
         return f"<!DOCTYPE html><html><head><title>{self.words(2, 6)}</title><style>p{{margin:0}}</style><script>var t='</p>';</script></head><body>" + "".join([*top, *side, inner, *last]) + cut
 
 
-def labelled(dom: Dom) -> tuple[np.ndarray, np.ndarray]:
-    """Labels of elements from the nearest mark above them, 1 for what holds main text, and which are told at all."""
+def labelled(dom: Dom) -> np.ndarray:
+    """Labels of elements from the nearest mark above them: 1 for what holds main text, and for what is above it."""
     n = len(dom.tags)
     y, told = np.zeros(n), np.zeros(n, dtype=bool)
     for k in range(1, n):
@@ -240,8 +265,7 @@ def labelled(dom: Dom) -> tuple[np.ndarray, np.ndarray]:
     for k in range(n - 1, 0, -1):
         if y[k] == 1 and not told[dom.parents[k]]:
             y[dom.parents[k]] = 1
-    told |= y == 1
-    return y, np.ones(n, dtype=bool)
+    return y
 
 
 @lru_cache(maxsize=1)
@@ -250,7 +274,7 @@ def model(pages: int = 700, seed: int = 3) -> BoostedTrees:
     source, xs, ys = _Pages(seed), [], []
     for _ in range(pages):
         dom = Dom(source.page())
-        y, _ = labelled(dom)
+        y = labelled(dom)
         use = np.array([t not in NEVER and t not in ("#root", "html", "body") for t in dom.tags])
         xs.append(node_features(dom)[use])
         ys.append(y[use])

@@ -7,7 +7,8 @@ judged by a histogram: their counts say too little.
 
 Nulls: a null text has no words (and fails the base rules); documents with a null or rare language
 are compared to the documents of that same language value, null being one. Repeated rows are judged
-alike. An empty table gives no rows.
+alike, and divergences at a bound pass. Texts of any length count whole. An empty table gives no rows; columns other than
+``doc_id``, ``lang`` and ``text`` are ignored.
 """
 
 from __future__ import annotations

@@ -10,7 +10,9 @@ groups of copies never meet each other; a bucket of many classes is compared blo
 links that join its parts are emitted.
 
 Nulls: a null text has no words (fingerprint zero); rows with a null ``doc_id`` get a fingerprint and
-the component of their class, null where no member has an id. Repeated rows stay, one result each.
+the component of their class, null where no member has an id. Repeated rows stay, one result each. Ties need no order: a
+component is named by its least id, and of rows that share the least id the one of least text hash stays. Texts of any length are read whole.
+An empty table gives no rows. ``without_near_duplicates`` returns all columns, whatever their names, as they are.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import text_or_empty, written
+from .common import free_name, text_or_empty, written
 from .components import connected_components
 from .golay import keys
 from .grouping import blocked, labels_of, sorted_groups
@@ -143,11 +145,12 @@ def first_of_groups(documents: DataFrame, rows: DataFrame, groups: DataFrame) ->
     rows: doc_id, digest (``xxhash64`` of the text) and node of every row with an id; groups: node and component of the linked nodes.
     """
     least = rows.groupBy("node").agg(F.min(F.struct("doc_id", "digest")).alias("row")).join(groups, "node", "left")
-    first = least.groupBy(F.coalesce("component", "node")).agg(F.min("row").alias("row")).select(F.col("row.doc_id").alias("_q_first"), F.col("row.digest").alias("_q_digest"))
-    named = documents.withColumn("_q_text", F.xxhash64("text"))
-    kept = named.join(first, (F.col("doc_id") == F.col("_q_first")) & (F.col("_q_text") == F.col("_q_digest")), "left_semi")
-    order = W.partitionBy("doc_id", "_q_text").orderBy("_q_text")
-    kept = kept.withColumn("_q_row", F.row_number().over(order)).where("_q_row = 1").drop("_q_row", "_q_text")
+    first_id, first_text, own_text, place = (free_name(documents, c) for c in ("first", "digest", "text", "row"))
+    first = least.groupBy(F.coalesce("component", "node")).agg(F.min("row").alias("row")).select(F.col("row.doc_id").alias(first_id), F.col("row.digest").alias(first_text))
+    named = documents.withColumn(own_text, F.xxhash64("text"))
+    kept = named.join(first, (F.col("doc_id") == F.col(first_id)) & (F.col(own_text) == F.col(first_text)), "left_semi")
+    # Equal rows of a task are one before they are dealt, so many copies under one id gather nowhere.
+    kept = kept.withColumn(place, F.row_number().over(W.partitionBy("doc_id", own_text).orderBy(own_text))).where(F.col(place) == 1).drop(place, own_text)
     return kept.unionByName(documents.where("doc_id is null"))
 
 

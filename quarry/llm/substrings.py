@@ -20,7 +20,13 @@ the right half and a last one of the left half. Equal windows have equal cores,
 Only steps 2 and 3 shuffle: about a fifth of the words as records, then the texts.
 
 Nulls: a null text has no words; a document without id is returned whole and is no source. Rows with
-the same id are one document's: none is a source for the other. An empty table gives no rows.
+the same id are one document's: none is a source for the other. Of equal passages the one of the least id stays, in all its
+places. Texts of any length are read whole. An empty table gives no rows; columns other than ``doc_id`` and ``text`` are ignored.
+
+No word is compared again: with 64 bits of a symbol's name and 48 of a window's, two different windows of 13 words count as
+one with a chance of 2**-112 a pair; within a symbol that 10**8 different windows choose, 5 * 10**15 pairs at 2**-48 make about 18 such cases,
+in corpora without a symbol of more than 10**6 fewer than 0.002 a symbol. Rows that share an id and differ in text take marks that are not theirs with a
+chance of 2**-16.
 """
 
 from __future__ import annotations

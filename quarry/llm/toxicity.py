@@ -13,7 +13,9 @@ those not held out; scoring covers every whole text.
 
 Nulls and empty texts have no words and get the score of no evidence, near 0. Rows without an id are scored
 and never held out or learned from. Without labels of both kinds every score is the share of
-toxic labels.
+toxic labels. Of rows that share an id, and of labels that do, one is learned from (the least hash of the text, the toxic label);
+each is scored by its own text, so repeated rows score alike. A text of any length is scored whole, at a memory of its own words. Ties at 0.5
+count as toxic. An empty table gives no rows. ``without_toxic`` returns all columns, whatever their names, as they are.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import free_name, text_or_empty
 
 MAX_TOXIC, MAX_CLEAN = 1200, 2000
 WINDOW, STRIDE = 64, 32
@@ -35,7 +37,7 @@ HELD_OUT_MOD = 5
 #: Words scored at once, and windows in one pass of the network.
 LOT_WORDS, LOT_WINDOWS = 150_000, 4096
 #: Training: passes over the chosen windows between choices, rows in a step, step sizes.
-PASSES, BATCH, RATE, TABLE_RATE = (3, 2, 2), 64, 0.012, 0.18
+PASSES, BATCH, RATE, TABLE_RATE = (4, 3, 3), 64, 0.012, 0.18
 NO_EVIDENCE = -8.0
 _STRIP = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -351,14 +353,17 @@ def trained(documents: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC,
     sample = by_hash(1, max_toxic).union(by_hash(0, max_clean))
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     # The sample has at most max_toxic + max_clean rows, so it may be broadcast.
-    rows = docs.join(F.broadcast(sample), "doc_id").select("doc_id", "text", "toxic").toPandas()
-    rows = rows.sort_values(["doc_id", "text"])
+    # Of rows with one id, the one of least hash is learned from, so no more rows reach the driver than the sample has.
+    labelled = docs.join(F.broadcast(sample), "doc_id").withColumn("digest", F.xxhash64("text"))
+    least = labelled.groupBy("doc_id").agg(F.min("digest").alias("digest"))
+    labelled = labelled.join(F.broadcast(least), ["doc_id", "digest"]).groupBy("doc_id", "digest").agg(F.first("text").alias("text"), F.first("toxic").alias("toxic"))
+    rows = labelled.select("doc_id", "text", "toxic").toPandas().sort_values(["doc_id", "text"])
     total = counts.get(0, 0) + counts.get(1, 0)
     return train(rows["text"].tolist(), rows["toxic"].tolist(), counts.get(1, 0) / total if total else 0.0)
 
 
-def scored(documents: DataFrame, network: Network) -> DataFrame:
-    """doc_id, text and score of every document."""
+def scored(documents: DataFrame, network: Network, name: str = "score") -> DataFrame:
+    """All columns of the documents, and the score of every one under ``name``, which they must not have."""
     shared = documents.sparkSession.sparkContext.broadcast(network)  # of a fixed size
 
     def run(batches):
@@ -366,17 +371,23 @@ def scored(documents: DataFrame, network: Network) -> DataFrame:
 
         for batch in batches:
             found = scores(shared.value, (t.as_py() or "" for t in batch.column("text")))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], names=[*batch.schema.names, "_q_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], names=[*batch.schema.names, name])
 
     from pyspark.sql.types import DoubleType, StructType
 
-    schema = StructType([*documents.schema.fields]).add("_q_score", DoubleType())
+    schema = StructType([*documents.schema.fields]).add(name, DoubleType())
     return documents.mapInArrow(run, schema)
 
 
+def without_toxic(documents: DataFrame, network: Network, least: float = 0.5) -> DataFrame:
+    """The documents, with their own columns, that score under ``least``."""
+    name = free_name(documents, "score")
+    return scored(documents, network, name).where(F.col(name) < least).select(*(F.col(f"`{c}`") for c in documents.columns))
+
+
 def toxicity(spark: SparkSession, documents: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score and predicted of every document."""
     network = trained(documents, labels)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    out = scored(docs, network).select("doc_id", held_out().alias("held_out"), F.col("_q_score").alias("score"))
+    out = scored(docs, network).select("doc_id", held_out().alias("held_out"), "score")
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

@@ -707,3 +707,82 @@ def test_pipeline(spark):
     assert seen[:-1] == sorted(seen[:-1], reverse=True) and seen[2] == seen[3] > 0
     packed = pipeline.STAGES[-1][1](spark, docs, SF)
     assert {r["doc_id"] for r in packed.collect()} == {r["doc_id"] for r in docs.collect()}
+
+
+# Edges of every operator and stage
+
+
+def test_extraction_of_unseen_layouts():
+    from collections import Counter
+
+    from unseen_pages import page
+
+    r = random.Random(99)
+    pages = [page(r) for _ in range(300)]
+    hit = got = want = exact = 0
+    for (_, text), found in zip(pages, extraction.main_texts([h for h, _ in pages], extraction.model())):
+        a, b = Counter(text.split()), Counter(found.split())
+        hit, got, want, exact = hit + sum((a & b).values()), got + sum(b.values()), want + sum(a.values()), exact + (text == found)
+    print(f"precision {hit / got:.4f}, recall {hit / want:.4f}, {exact} of {len(pages)} whole")
+    assert hit / got > 0.98 and hit / want > 0.98 and exact > 0.9 * len(pages)
+
+
+def test_extraction_of_deep_pages():
+    import time
+
+    for html in ("<div>" * 100_000 + "x", "<p><button>" + "<div>" * 50_000, "</section>" * 50_000 + "<p>a", "<ul><li>" * 50_000):
+        start = time.process_time()
+        extraction.main_texts([html], extraction.model())
+        assert time.process_time() - start < 15
+
+
+def clashing(spark):
+    """Nulls everywhere, an empty and a long text, repeated rows and ids, and columns named like the operators' own."""
+    r = random.Random(31)
+    long = " ".join("".join(r.choice("abdeilnorst") for _ in range(r.randint(1, 9))) for _ in range(200_000))
+    rows = [(1, "a b c", "en", "s", 5), (1, "a b c", "en", "s", 5), (1, "other words here", None, "s", 9), (None, None, None, None, None), (2, "", "de", None, 0), (3, long, "en", "t", len(long)), (None, "a b c", "en", "s", 5), (4, None, "fr", "s", 0)]
+    assert len(long) > 1_000_000
+    names = ("_q_score", "_q_source", "_q_rate", "_q_copies", "_q_text", "_q_row", "_q_first", "score", "key", "node", "place", "rank", "fp", "rep", "topic", "tokens", "digest", "v", "n", "start")
+    df = spark.createDataFrame(rows, DOCS)
+    return df.withColumns({c: mixing.F.lit(k) for k, c in enumerate(names)})
+
+
+def test_operators_take_any_rows_and_columns(spark):
+    df = clashing(spark)
+    labels = spark.createDataFrame([(k, k % 2) for k in range(5)] + [(1, 1), (None, 1)], "doc_id long, toxic int")
+    n = df.count()
+    assert packing.pack(spark, df).selectExpr("sum(length)").first()[0] == sum(len(ids_of(r["text"])) for r in df.select("text").collect())
+    for out in (
+        substrings.without_repeats(spark, df), token_files.token_file_round_trip(spark, df), mixing.mixed(spark, df), simhash.near_duplicates(spark, df),
+        toxicity.toxicity(spark, df, labels), quality.judged(spark, df), secrets.scan(df),
+    ):
+        assert sorted(r["doc_id"] or 0 for r in out.collect()) == sorted(r["doc_id"] or 0 for r in df.select("doc_id").collect())
+    assert n == 8
+    pages = spark.createDataFrame([(1, "u", "<p>a b.</p>"), (1, "u", "<p>a b.</p>"), (None, None, None), (2, "u", "<p>" + "long text. " * 120_000)], "page_id long, url string, html string").withColumn("text", mixing.F.lit(1))
+    assert sorted(len(r["text"]) for r in extraction.extracted(pages).collect())[-1] > 1_000_000
+    vectors = spark.createDataFrame([(1, [1.0, 0.0]), (1, [1.0, 0.0]), (None, None), (2, [2.0, 0.0])], "vec_id long, embedding array<double>").withColumns({c: mixing.F.lit(1) for c in ("v", "n", "rep", "key", "links")})
+    assert sorted((r["vec_id"] or 0, r["n_links"]) for r in embeddings.linked_vectors(spark, vectors).collect()) == [(0, 0), (1, 2), (1, 2), (2, 2)]
+
+
+def test_operators_take_empty_tables(spark):
+    none = empty(spark)
+    assert toxicity.toxicity(spark, none, spark.createDataFrame([], "doc_id long, toxic int")).count() == 0
+    assert secrets.scan(none).count() == 0
+    assert extraction.extracted(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+@pytest.mark.parametrize("rows", ["clashing", "empty"])
+def test_stages_take_any_table(spark, rows, tmp_path):
+    import corpus_pipeline as pipeline
+
+    docs = clashing(spark) if rows == "clashing" else empty(spark)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs = common.table(spark, str(tmp_path), "documents")
+    for name, stage in pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns, name
+        docs = common.written(spark, out, name)
+    packed = pipeline.STAGES[-1][1](spark, docs, str(tmp_path))
+    ids = [r["doc_id"] for r in docs.select("doc_id").collect()]
+    assert {r["doc_id"] for r in packed.collect()} == set(ids) and (rows == "empty") == (not ids)
