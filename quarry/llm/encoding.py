@@ -24,9 +24,9 @@ import numpy as np
 
 END_ID = 1
 #: Entries of each of the cache's two generations, and the longest parts that are kept.
-CACHE_ENTRIES, CACHE_CHARS = 400_000, 200
+CACHE_ENTRIES, CACHE_CHARS = 200_000, 200
 #: Bytes of texts in a lot.
-LOT_BYTES = 8 << 20
+LOT_BYTES = 2 << 20
 #: Parts encoded as one text.
 _JOIN = 5000
 #: Texts that are encoded alone.
