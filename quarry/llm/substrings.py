@@ -13,7 +13,7 @@ the right half and a last one of the left half. Equal windows have equal cores,
    repeated) chooses from its words. Records hold the symbol's name, its document and place, which windows
    chose it, and a name of each of these. What repeats within a task is settled there; where the least
    document holds the same record again, the later places follow the names in its one record.
-2. Records meet by symbol. Windows with the same symbol and name (64 and 48 bits) are equal; those in a
+2. Records meet by symbol. Windows with the same symbol and name (64 bits each) are equal; those in a
    document with a greater id than the least are marked.
 3. Marks are joined to the documents, and the words that marked windows cover go.
 
@@ -23,9 +23,8 @@ Nulls: a null text has no words; a document without id is returned whole and is
 the same id are one document's: none is a source for the other. Of equal passages the one of the least id stays, in all its
 places. Texts of any length are read whole. An empty table gives no rows; columns other than ``doc_id`` and ``text`` are ignored.
 
-No word is compared again: with 64 bits of a symbol's name and 48 of a window's, two different windows of 13 words count as
-one with a chance of 2**-112 a pair; within a symbol that 10**8 different windows choose, 5 * 10**15 pairs at 2**-48 make about 18 such cases,
-in corpora without a symbol of more than 10**6 fewer than 0.002 a symbol. Rows that share an id and differ in text take marks that are not theirs with a
+No word is compared again: with 64 bits of a symbol's name and 64 of a window's, two different windows of 13 words count as
+one with a chance of 2**-128 a pair; within a symbol that 10**8 different windows choose, 5 * 10**15 pairs at 2**-64 make about 0.0003 such cases. Rows that share an id and differ in text take marks that are not theirs with a
 chance of 2**-16.
 """
 
@@ -41,10 +40,9 @@ from .common import release, text_or_empty, written
 
 WINDOW = 13
 ROUNDS = 3
-#: Bytes of a window's name in the records; windows meet only within one symbol's 64-bit name.
-WINDOW_BYTES = 6
-#: Bytes of a later place of a record's windows in the same text.
-PLACE_BYTES = 4
+#: Units of 4 bytes of a window's name in the records; a later place of a record's windows in the same text takes one.
+NAME_UNITS = 2
+UNIT_BYTES = 4
 #: Bits of a text's hash that tell rows with the same doc_id apart.
 TAG_BITS = 16
 #: Words parsed at once.
@@ -212,7 +210,7 @@ def records(documents: DataFrame, window: int = WINDOW) -> DataFrame:
                         np.diff(np.append(cut, len(order))),
                     )
                 )
-                found.append(windows.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :WINDOW_BYTES].copy())
+                found.append(windows)
             if not parts:
                 continue
             name, row, pos, mask, spread, count = (np.concatenate(x) for x in zip(*parts))
@@ -238,16 +236,17 @@ def records(documents: DataFrame, window: int = WINDOW) -> DataFrame:
             owner = rank[head[later]]
             more = np.bincount(owner, minlength=len(keep))
             names_at = np.cumsum(count) - count
-            size = count[keep] * WINDOW_BYTES + more * PLACE_BYTES
+            size = count[keep] * NAME_UNITS + more
             ends = np.cumsum(size)
-            data = np.zeros(int(ends[-1]) if len(ends) else 0, dtype=np.uint8)
+            data = np.zeros(int(ends[-1]) if len(ends) else 0, dtype="<u4")
             nth = np.arange(int(count[keep].sum())) - np.repeat(np.cumsum(count[keep]) - count[keep], count[keep])
-            to = np.repeat(ends - size, count[keep]) + nth * WINDOW_BYTES
-            data[to[:, None] + np.arange(WINDOW_BYTES)] = found[np.repeat(names_at[keep], count[keep]) + nth]
+            to = np.repeat(ends - size, count[keep]) + nth * NAME_UNITS
+            window_name = found[np.repeat(names_at[keep], count[keep]) + nth]
+            data[to] = window_name & np.uint64(0xFFFFFFFF)
+            data[to + 1] = window_name >> np.uint64(32)
             nth = np.arange(len(owner)) - (np.cumsum(more) - more)[owner]
-            to = ends[owner] - (more[owner] - nth) * PLACE_BYTES
-            data[to[:, None] + np.arange(PLACE_BYTES)] = pos[order[later]].astype("<i4").view(np.uint8).reshape(-1, PLACE_BYTES)
-            offsets = np.concatenate([[0], ends, np.full(len(marked), ends[-1] if len(ends) else 0)]).astype(np.int32)
+            data[ends[owner] - more[owner] + nth] = pos[order[later]]
+            offsets = (np.concatenate([[0], ends, np.full(len(marked), ends[-1] if len(ends) else 0)]) * UNIT_BYTES).astype(np.int32)
             both = np.concatenate([keep, marked])
             key = np.concatenate([name[keep], _mixed(doc_id[marked].astype(np.uint64))]).view(np.int64)
             binary = pa.BinaryArray.from_buffers(pa.binary(), len(both), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
@@ -259,7 +258,7 @@ def records(documents: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def _marked(key, doc_id, mask, offsets, data, window):
-    """Of records of whole groups, the masks of windows that also start in a document with a smaller id."""
+    """Of records of whole groups, the masks of windows that also start in a document with a smaller id; offsets in units."""
     out = np.zeros(len(key), dtype=np.int64)
     full = offsets[1:] > offsets[:-1]
     out[~full] = mask[~full]
@@ -273,9 +272,8 @@ def _marked(key, doc_id, mask, offsets, data, window):
     row, bit = np.nonzero((mask[which, None] >> down) & 1)
     rel, record = down[bit], which[row]
     nth = np.arange(len(row)) - np.searchsorted(row, row)
-    wide = np.zeros((len(row), 8), dtype=np.uint8)
-    wide[:, :WINDOW_BYTES] = data[(offsets[record] + nth * WINDOW_BYTES)[:, None] + np.arange(WINDOW_BYTES)]
-    name = wide.view(np.uint64)[:, 0]
+    at = offsets[record] + nth * NAME_UNITS
+    name = data[at].astype(np.uint64) | (data[at + 1].astype(np.uint64) << np.uint64(32))
     order = np.lexsort((doc_id[record], name, key[record]))
     fresh = np.ones(len(order), dtype=bool)
     a, b = order[1:], order[:-1]
@@ -293,18 +291,20 @@ def marks(found: DataFrame, window: int = WINDOW) -> DataFrame:
 
         table = table.combine_chunks()
         binary = table.column("windows").chunk(0)
-        offsets = np.frombuffer(binary.buffers()[1], dtype=np.int32)[binary.offset : binary.offset + len(binary) + 1].astype(np.int64)
-        data = np.frombuffer(binary.buffers()[2], dtype=np.uint8) if binary.buffers()[2] is not None else np.zeros(0, np.uint8)
+        offsets = np.frombuffer(binary.buffers()[1], dtype=np.int32)[binary.offset : binary.offset + len(binary) + 1].astype(np.int64) // UNIT_BYTES
+        # A value's length is a multiple of the unit, so the values' own bytes are whole units.
+        units = int(offsets[-1])
+        data = np.frombuffer(binary.buffers()[2], dtype="<u4", count=units) if units else np.zeros(0, "<u4")
         doc_id, tagged = table.column("doc_id").to_numpy(), table.column("mask").to_numpy().astype(np.int64)
         out = _marked(table.column("key").to_numpy(), doc_id, tagged & ((1 << window) - 1), offsets, data, window)
         have = np.nonzero(out)[0]
         pos = table.column("pos").to_numpy().astype(np.int64)[have]
         # Later places of the same windows, behind their names.
-        names = np.bitwise_count(tagged[have] & ((1 << window) - 1)).astype(np.int64) * WINDOW_BYTES
-        more = np.maximum(offsets[have + 1] - offsets[have] - names, 0) // PLACE_BYTES
+        names = np.bitwise_count(tagged[have] & ((1 << window) - 1)).astype(np.int64) * NAME_UNITS
+        more = np.maximum(offsets[have + 1] - offsets[have] - names, 0)
         nth = np.arange(int(more.sum())) - np.repeat(np.cumsum(more) - more, more)
-        at = np.repeat(offsets[have] + names, more) + nth * PLACE_BYTES
-        later = data[at[:, None] + np.arange(PLACE_BYTES)].reshape(-1, PLACE_BYTES).view("<i4")[:, 0].astype(np.int64)
+        at = np.repeat(offsets[have] + names, more) + nth
+        later = data[at].astype(np.int64)
         have, pos = np.concatenate([have, np.repeat(have, more)]), np.concatenate([pos, later])
         place = (pos << (window + TAG_BITS)) | (tagged[have] >> window << window) | out[have]
         return pa.RecordBatch.from_arrays([pa.array(doc_id[have]), pa.array(place)], names=["doc_id", "place"])

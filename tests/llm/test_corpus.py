@@ -244,6 +244,13 @@ def test_substrings_mark_every_place_of_a_passage(spark):
         assert {(x["doc_id"], x["n_words"], x["n_removed"]) for x in substrings.without_repeats(spark, df).collect()} == want
 
 
+def test_substrings_compare_whole_window_names():
+    key, doc_id, mask, offsets = np.array([7, 7]), np.array([1, 2]), np.array([1, 1]), np.array([0, 2, 4])
+    for last, want in (((5, 0), [0, 1]), ((5, 1 << 31), [0, 0]), ((6, 0), [0, 0])):
+        data = np.array([5, 0, *last], dtype="<u4")
+        assert substrings._marked(key, doc_id, mask, offsets, data, 13).tolist() == want
+
+
 def test_substrings_without_id_stay(spark):
     t = " ".join(map(str, range(40)))
     got = substrings.without_repeats(spark, made(spark, [t, t, t], [1, 2, None])).collect()
