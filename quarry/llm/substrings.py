@@ -165,13 +165,13 @@ def _batches(texts):
         yield first, held
 
 
-_RECORD = "key long, doc_id long, pos int, mask int, windows binary"
+_RECORD = "key long, doc_id long, place long, windows binary"
 
 
 def records(documents: DataFrame, window: int = WINDOW) -> DataFrame:
     """Records of step 1 from (doc_id, text, digest); marks already known have no windows and their document's hash as key.
 
-    ``mask`` holds a bit for each window (how many words it starts before ``pos``) and above these the text's tag.
+    ``place`` holds a bit for each window (how many words it starts before the symbol), above these the text's tag, then the symbol's first word.
     """
 
     def run(batches):
@@ -250,9 +250,8 @@ def records(documents: DataFrame, window: int = WINDOW) -> DataFrame:
             both = np.concatenate([keep, marked])
             key = np.concatenate([name[keep], _mixed(doc_id[marked].astype(np.uint64))]).view(np.int64)
             binary = pa.BinaryArray.from_buffers(pa.binary(), len(both), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
-            tagged = mask[both] | (tags[row[both]] << window)
-            columns = [pa.array(key), pa.array(doc_id[both]), pa.array(pos[both].astype(np.int32)), pa.array(tagged.astype(np.int32)), binary]
-            yield pa.RecordBatch.from_arrays(columns, names=["key", "doc_id", "pos", "mask", "windows"])
+            at = (pos[both].astype(np.int64) << (window + TAG_BITS)) | (tags[row[both]].astype(np.int64) << window) | mask[both]
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(doc_id[both]), pa.array(at), binary], names=["key", "doc_id", "place", "windows"])
 
     return documents.mapInArrow(run, _RECORD)
 
@@ -295,19 +294,21 @@ def marks(found: DataFrame, window: int = WINDOW) -> DataFrame:
         # A value's length is a multiple of the unit, so the values' own bytes are whole units.
         units = int(offsets[-1])
         data = np.frombuffer(binary.buffers()[2], dtype="<u4", count=units) if units else np.zeros(0, "<u4")
-        doc_id, tagged = table.column("doc_id").to_numpy(), table.column("mask").to_numpy().astype(np.int64)
-        out = _marked(table.column("key").to_numpy(), doc_id, tagged & ((1 << window) - 1), offsets, data, window)
+        doc_id, place = table.column("doc_id").to_numpy(), table.column("place").to_numpy()
+        mask = place & ((1 << window) - 1)
+        out = _marked(table.column("key").to_numpy(), doc_id, mask, offsets, data, window)
         have = np.nonzero(out)[0]
-        pos = table.column("pos").to_numpy().astype(np.int64)[have]
+        pos = place[have] >> (window + TAG_BITS)
         # Later places of the same windows, behind their names.
-        names = np.bitwise_count(tagged[have] & ((1 << window) - 1)).astype(np.int64) * NAME_UNITS
+        names = np.bitwise_count(mask[have]).astype(np.int64) * NAME_UNITS
         more = np.maximum(offsets[have + 1] - offsets[have] - names, 0)
         nth = np.arange(int(more.sum())) - np.repeat(np.cumsum(more) - more, more)
         at = np.repeat(offsets[have] + names, more) + nth
         later = data[at].astype(np.int64)
         have, pos = np.concatenate([have, np.repeat(have, more)]), np.concatenate([pos, later])
-        place = (pos << (window + TAG_BITS)) | (tagged[have] >> window << window) | out[have]
-        return pa.RecordBatch.from_arrays([pa.array(doc_id[have]), pa.array(place)], names=["doc_id", "place"])
+        tag = (place[have] >> window) & ((1 << TAG_BITS) - 1)
+        marked = (pos << (window + TAG_BITS)) | (tag << window) | out[have]
+        return pa.RecordBatch.from_arrays([pa.array(doc_id[have]), pa.array(marked)], names=["doc_id", "place"])
 
     def run(batches):
         import pyarrow as pa
