@@ -22,7 +22,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of similar texts (0.8 or more of five-word shingles) stays, that of the smallest id."""
+    """One document of each group of similar texts (0.8 or more of five-word shingles) stays, that of the smallest id: SimHash with Golay keys."""
     return similar.without_similar(spark, docs)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,16 +13,18 @@ from pyspark.sql import functions as F
 BLOCK_MEMBERS = 2048
 
 
-def blocked(members: DataFrame, key: str, member: Column, block: int = BLOCK_MEMBERS, attach: DataFrame | None = None, on: str | None = None) -> DataFrame:
+def blocked(members: DataFrame, key: str, member: Column, block: int = BLOCK_MEMBERS, attach: DataFrame | None = None, on: str | None = None, few: bool = False) -> DataFrame:
     """Members of buckets that hold two or more, with the pair of blocks (b1, b2) in which they are compared, and their own block.
 
     ``attach``: a table joined on ``on`` to the members that remain, for columns too wide to deal out with every key.
+    ``few``: there are few enough keys to send their sizes to every task, so the members are dealt only once.
 
     A bucket of at most ``block`` members is one block. Of a larger one, n = ceil(size / block) blocks are
     made by a hash of the member, and a member goes to the n block pairs that hold its own block. Rows are
     dealt by (key, b1, b2) and sorted, so a task never needs more than two blocks at once, whatever the bucket.
     """
     sizes = members.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    sizes = F.broadcast(sizes) if few else sizes
     n = F.ceil(F.col("_n") / F.lit(block)).cast("int")
     own = F.pmod(F.xxhash64(member), n.cast("long")).cast("int")
     out = members.join(sizes, key).select(*members.columns, own.alias("_own"), F.explode(F.sequence(F.lit(0), n - 1)).alias("_other"))
@@ -72,3 +76,29 @@ def labels_of(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         if np.array_equal(new, label):
             return label
         label = new
+
+
+def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As few links as join the nodes that the links u-v join: of each node to the least it reaches."""
+    nodes, place = np.unique(np.concatenate([u, v]), return_inverse=True)
+    label = labels_of(len(nodes), place[: len(u)], place[len(u) :])
+    linked = np.nonzero(label != np.arange(len(nodes)))[0]
+    return nodes[linked], nodes[label[linked]]
+
+
+def thinned(links, most: int = 1 << 20):
+    """Record batches u, v of a task's links (pairs of arrays), each of some ``most`` links made a forest."""
+    import pyarrow as pa
+
+    left, right, size = [], [], 0
+    for u, v in itertools.chain(links, [(None, None)]):
+        if u is not None:
+            left.append(u)
+            right.append(v)
+            size += len(u)
+        if size > most or u is None and size:
+            found = forest(np.concatenate(left), np.concatenate(right))
+            left, right, size = [found[0]], [found[1]], len(found[0])
+            if size > most // 2 or u is None:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=["u", "v"])
+                left, right, size = [], [], 0

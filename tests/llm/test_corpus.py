@@ -355,6 +355,64 @@ def test_pipeline_drops_similar_texts(spark, monkeypatch):
     assert sorted(x["doc_id"] for x in kept.collect()) == sorted(set(label))
 
 
+def test_similar_texts_share_golay_keys():
+    r = np.random.default_rng(6)
+    fps = r.integers(0, 1 << 63, (200, 4)).view(np.int64)
+    assert similar.SEGMENTS * golay.LENGTH <= similar.BITS
+
+    def met(a, b):
+        found = [set(zip(*(x.tolist() for x in similar.golay_keys(np.ascontiguousarray(f))))) for f in (a, b)]
+        return found[0] & found[1]
+
+    # One bit may differ in every word: all words still share a key.
+    bits = np.unpackbits(fps.view(np.uint8), axis=1)
+    for k in range(similar.SEGMENTS):
+        bits[np.arange(200), golay.LENGTH * k + r.integers(0, golay.LENGTH, 200)] ^= 1
+    shared = met(fps, np.packbits(bits, axis=1).view(np.int64))
+    assert {(place, key >> 12) for place, key in shared} == {(p, k) for p in range(200) for k in range(similar.SEGMENTS)}
+    # Sets at similarity 0.8 share one, and their fingerprints pass the check; a fingerprint is the majority of its shingles' bits.
+    for common, left, right in ((4, 0, 1), (8, 1, 1), (40, 5, 5), (300, 0, 75), (800, 100, 100)):
+        sets = [r.integers(0, 1 << 63, common + left + right).astype(np.uint64) << np.uint64(1) for _ in range(600)]
+        a, b = (np.array([similar.fingerprint(x) for x in of]) for of in ([x[: common + left] for x in sets], [np.delete(x, slice(common, common + left)) for x in sets]))
+        differ = np.bitwise_count((a ^ b).view(np.uint64))[:, : similar.CHECK_WORDS].sum(axis=1)
+        found = {place for place, _ in met(a, b)} & set(np.nonzero(differ <= similar.MAX_BITS)[0].tolist())
+        assert len(found) >= 0.99 * len(sets), (common, left, right, len(found))
+    several = np.stack([np.unpackbits(similar.fingerprint(h).view(np.uint8)) for h in np.split(sets[0][:301], 301)]).sum(axis=0)
+    assert np.array_equal(np.unpackbits(similar.fingerprint(sets[0][:301]).view(np.uint8)), 2 * several > 301)
+
+
+@pytest.mark.parametrize("links, cells", [(1 << 20, 1 << 19), (50, 900)])
+def test_near_fingerprints_are_joined_as_all_their_pairs(monkeypatch, links, cells):
+    monkeypatch.setattr(similar, "_LINKS", links)
+    monkeypatch.setattr(similar, "_CELLS", cells)
+    r = np.random.default_rng(7)
+    base = r.integers(0, 1 << 63, (40, 3), dtype=np.uint64)
+    fps = base[np.concatenate([r.integers(0, 40, 250), np.zeros(80, dtype=int)])]
+    for _ in range(11):  # texts about the limit apart
+        fps ^= np.uint64(1) << r.integers(0, 64, fps.shape).astype(np.uint64)
+    sizes = np.sort(r.integers(1, 40, len(fps)))
+    fit = lambda a, b: sizes[a] >= 0.8 * sizes[b] - 1e-9 and np.bitwise_count(fps[a] ^ fps[b]).sum() <= similar.MAX_BITS
+    want = groups(len(fps), [(a, b) for b in range(len(fps)) for a in range(b) if fit(a, b)])
+    assert 60 < len(set(want)) < 300 and similar.near(sizes, list(fps.T), 0.8, similar.MAX_BITS).tolist() == want
+
+
+def test_links_of_a_large_group_are_few(spark, monkeypatch):
+    monkeypatch.setattr(similar, "BUCKET_BLOCK", 40)
+    r = random.Random(13)
+    word = lambda: "".join(r.choice("abcdefghil") for _ in range(6))
+    base, texts = [word() for _ in range(120)], []
+    for _ in range(300):
+        w = list(base)
+        w[r.randrange(len(w))] = word()
+        texts.append(" ".join(w))
+    texts += [" ".join(word() for _ in range(60)) for _ in range(100)]
+    classes = similar.sketches(made(spark, texts))
+    links = [(x["u"], x["v"]) for x in similar.near_links(classes).collect()]
+    assert len(links) < 4 * 300 and all(u > v for u, v in links)
+    group = components.connected_components(spark, spark.createDataFrame(links, "u long, v long")).collect()
+    assert len(group) == 300 and {x["component"] for x in group} == {min(v for _, v in links)}
+
+
 def test_blocked_buckets_link_alike(spark):
     rng = np.random.default_rng(4)
     base = int(rng.integers(0, 1 << 62))
