@@ -32,8 +32,8 @@ from .simhash import SEED, first_of_groups
 WIDTH, SIMILARITY = 5, 0.8
 #: Bits of a fingerprint, and words of the Golay code in it.
 BITS, SEGMENTS = 256, 11
-#: 64-bit words that are compared in a bucket, and the bits that may differ in them: at similarity 0.8 more do with a chance of 1e-6
-#: (2e-4 for four and five shingles), of unrelated texts as few with 3e-9.
+#: 64-bit words that are compared in a bucket, and the bits that may differ in them: at similarity 0.8 more do with a chance of 6e-7
+#: (3e-4 for four and five shingles), of unrelated texts as few with 1.5e-9.
 CHECK_WORDS, MAX_BITS = 3, 55
 #: Classes of a component that are one block, and of a bucket of keys.
 BLOCK, BUCKET_BLOCK = 512, 1 << 15
