@@ -45,8 +45,8 @@ NAME_UNITS = 2
 UNIT_BYTES = 4
 #: Bits of a text's hash that tell rows with the same doc_id apart.
 TAG_BITS = 16
-#: Words parsed at once.
-BATCH_WORDS = 400_000
+#: Words parsed at once, words of a task whose records are settled together, and records handed on at once: they bound a task's memory only.
+BATCH_WORDS, SETTLED_WORDS, HANDED_RECORDS = 100_000, 6_000_000, 1 << 15
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _MIX2 = np.uint64(0xBF58476D1CE4E5B9)
 #: Salts of the levels and rounds.
@@ -165,6 +165,71 @@ def _batches(texts):
         yield first, held
 
 
+def _emptied(parts: list[np.ndarray]) -> np.ndarray:
+    """The parts as one array; the list is emptied."""
+    out = np.concatenate(parts)
+    parts.clear()
+    return out
+
+
+def _settled(parts, found, doc_ids, tags, window):
+    """Record batches of the records of some lots (name, row, pos, mask, spread, count) and their window names; empties the lists."""
+    import pyarrow as pa
+
+    if not found:
+        return
+    name, row, pos, mask, spread, count = map(_emptied, parts)
+    found = _emptied(found)
+    doc_id = doc_ids[row]
+    # Records with the same name and windows: the least document's stay, greater ones are marked.
+    order = np.lexsort((row, doc_id, mask, spread, name))
+    fresh = np.ones(len(order), dtype=bool)
+    a, b = order[1:], order[:-1]
+    fresh[1:] = (name[a] != name[b]) | (spread[a] != spread[b]) | (mask[a] != mask[b])
+    del spread
+    least = doc_id[order[fresh]][np.cumsum(fresh) - 1]
+    marked = order[doc_id[order] > least]
+    # A later place in the same row goes with the row's first record; another document may yet be their source.
+    first = fresh
+    first[1:] |= row[a] != row[b]
+    at_least = doc_id[order] == least
+    del least, a, b
+    later = at_least & ~first
+    keep = order[at_least & first]
+    # The places in ``keep`` of the later ones' first records, ascending.
+    owner = (np.cumsum(at_least & first) - 1)[later]
+    later_pos = pos[order[later]]
+    del order, fresh, first, at_least, later
+    more = np.bincount(owner, minlength=len(keep))
+    names_at = np.cumsum(count, dtype=np.int64) - count
+
+    def batch(key, which, offsets, data):
+        binary = pa.BinaryArray.from_buffers(pa.binary(), len(which), [None, pa.py_buffer((offsets * UNIT_BYTES).astype(np.int32)), pa.py_buffer(data)])
+        at = (pos[which].astype(np.int64) << (window + TAG_BITS)) | (tags[row[which]].astype(np.int64) << window) | mask[which]
+        return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(doc_id[which]), pa.array(at), binary], names=["key", "doc_id", "place", "windows"])
+
+    # The records in the order of their names' bytes, each followed by its later places.
+    for start in range(0, len(keep), HANDED_RECORDS):
+        which, behind = keep[start : start + HANDED_RECORDS], more[start : start + HANDED_RECORDS]
+        n = count[which].astype(np.int64)
+        size = n * NAME_UNITS + behind
+        ends = np.cumsum(size)
+        data = np.zeros(int(ends[-1]), dtype="<u4")
+        nth = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        to = np.repeat(ends - size, n) + nth * NAME_UNITS
+        window_name = found[np.repeat(names_at[which], n) + nth]
+        data[to] = window_name & np.uint64(0xFFFFFFFF)
+        data[to + 1] = window_name >> np.uint64(32)
+        p, q = np.searchsorted(owner, [start, start + len(which)])
+        own = owner[p:q] - start
+        nth = np.arange(q - p) - (np.cumsum(behind) - behind)[own]
+        data[ends[own] - behind[own] + nth] = later_pos[p:q]
+        yield batch(name[which], which, np.append(0, ends), data)
+    for start in range(0, len(marked), HANDED_RECORDS):
+        which = marked[start : start + HANDED_RECORDS]
+        yield batch(_mixed(doc_id[which].astype(np.uint64)), which, np.zeros(len(which) + 1, dtype=np.int64), np.zeros(0, dtype="<u4"))
+
+
 _RECORD = "key long, doc_id long, place long, windows binary"
 
 
@@ -175,11 +240,10 @@ def records(documents: DataFrame, window: int = WINDOW) -> DataFrame:
     """
 
     def run(batches):
-        import pyarrow as pa
-
         for batch in batches:
             ids, tags = batch.column(0).to_pylist(), batch.column(2).to_numpy() & ((1 << TAG_BITS) - 1)
-            parts, found = [], []
+            doc_ids = np.array([i or 0 for i in ids], dtype=np.int64)
+            parts, found, held = tuple([] for _ in range(6)), [], 0
             for first, lists in _batches(t.as_py() for t in batch.column(1)):
                 lists = [w if ids[first + k] is not None and len(w) >= window else [] for k, w in enumerate(lists)]
                 sizes = np.array([len(w) for w in lists])
@@ -200,58 +264,22 @@ def records(documents: DataFrame, window: int = WINDOW) -> DataFrame:
                 windows = window_names(names, starts, window)[order]
                 lead = order[cut]
                 own = doc[begin[lead]]
-                parts.append(
-                    (
-                        name[lead],
-                        first + own,
-                        begin[lead] - base[own],
-                        np.bitwise_or.reduceat(np.left_shift(1, rel), cut),
-                        np.add.reduceat(_mixed(windows + rel.astype(np.uint64) * _MIX), cut),
-                        np.diff(np.append(cut, len(order))),
-                    )
+                records_of_lot = (
+                    name[lead],
+                    (first + own).astype(np.int32),
+                    (begin[lead] - base[own]).astype(np.int32),
+                    np.bitwise_or.reduceat(np.left_shift(1, rel), cut).astype(np.int32),
+                    np.add.reduceat(_mixed(windows + rel.astype(np.uint64) * _MIX), cut),
+                    np.diff(np.append(cut, len(order))).astype(np.int32),
                 )
+                for column, values in zip(parts, records_of_lot):
+                    column.append(values)
                 found.append(windows)
-            if not parts:
-                continue
-            name, row, pos, mask, spread, count = (np.concatenate(x) for x in zip(*parts))
-            found = np.concatenate(found)
-            doc_id = np.array([i or 0 for i in ids], dtype=np.int64)[row]
-            # Records with the same name and windows: the least document's stay, greater ones are marked.
-            order = np.lexsort((row, doc_id, mask, spread, name))
-            fresh = np.ones(len(order), dtype=bool)
-            a, b = order[1:], order[:-1]
-            fresh[1:] = (name[a] != name[b]) | (spread[a] != spread[b]) | (mask[a] != mask[b])
-            least = doc_id[order[fresh]][np.cumsum(fresh) - 1]
-            marked = order[doc_id[order] > least]
-            # A later place in the same row goes with the row's first record; another document may yet be their source.
-            first = fresh.copy()
-            first[1:] |= row[a] != row[b]
-            at_least = doc_id[order] == least
-            head = order[first][np.cumsum(first) - 1]
-            later = at_least & ~first
-            keep = order[at_least & first]
-            # The records in the order of their names' bytes, each followed by its later places.
-            rank = np.empty(len(order), dtype=np.int64)
-            rank[keep] = np.arange(len(keep))
-            owner = rank[head[later]]
-            more = np.bincount(owner, minlength=len(keep))
-            names_at = np.cumsum(count) - count
-            size = count[keep] * NAME_UNITS + more
-            ends = np.cumsum(size)
-            data = np.zeros(int(ends[-1]) if len(ends) else 0, dtype="<u4")
-            nth = np.arange(int(count[keep].sum())) - np.repeat(np.cumsum(count[keep]) - count[keep], count[keep])
-            to = np.repeat(ends - size, count[keep]) + nth * NAME_UNITS
-            window_name = found[np.repeat(names_at[keep], count[keep]) + nth]
-            data[to] = window_name & np.uint64(0xFFFFFFFF)
-            data[to + 1] = window_name >> np.uint64(32)
-            nth = np.arange(len(owner)) - (np.cumsum(more) - more)[owner]
-            data[ends[owner] - more[owner] + nth] = pos[order[later]]
-            offsets = (np.concatenate([[0], ends, np.full(len(marked), ends[-1] if len(ends) else 0)]) * UNIT_BYTES).astype(np.int32)
-            both = np.concatenate([keep, marked])
-            key = np.concatenate([name[keep], _mixed(doc_id[marked].astype(np.uint64))]).view(np.int64)
-            binary = pa.BinaryArray.from_buffers(pa.binary(), len(both), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
-            at = (pos[both].astype(np.int64) << (window + TAG_BITS)) | (tags[row[both]].astype(np.int64) << window) | mask[both]
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(doc_id[both]), pa.array(at), binary], names=["key", "doc_id", "place", "windows"])
+                held += len(names)
+                if held >= SETTLED_WORDS:
+                    yield from _settled(parts, found, doc_ids, tags, window)
+                    held = 0
+            yield from _settled(parts, found, doc_ids, tags, window)
 
     return documents.mapInArrow(run, _RECORD)
 
