@@ -65,6 +65,47 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
+#: What operators keep in a worker process between tasks: functions made by ``lru_cache``.
+_KEPT = []
+
+
+def kept_between_tasks(cached):
+    """Marks a function by ``lru_cache`` as one whose results ``lean`` tasks of the same process may drop."""
+    _KEPT.append(cached)
+    return cached
+
+
+def drop_kept() -> None:
+    for cached in _KEPT:
+        cached.cache_clear()
+
+
+def return_memory() -> None:
+    """Hands memory that this process has freed back to the system, where its C library can."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def lean(run):
+    """``run`` of a ``mapInArrow`` whose tasks drop what other operators keep in the worker, and at their end hand back freed memory.
+
+    Spark keeps workers for later tasks, so what one holds adds to the executor's memory in all later stages.
+    """
+
+    def task(batches):
+        drop_kept()
+        yield from run(batches)
+        return_memory()
+
+    return task
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """A column name for an operator's own use that the table does not have, whatever its case."""
     taken, out = {c.lower() for c in df.columns}, f"_q_{name}"

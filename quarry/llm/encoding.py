@@ -22,6 +22,8 @@ from functools import lru_cache
 
 import numpy as np
 
+from .common import kept_between_tasks
+
 END_ID = 1
 #: Entries of each of the cache's two generations, and the longest parts that are kept.
 CACHE_ENTRIES, CACHE_CHARS = 200_000, 200
@@ -151,9 +153,10 @@ class PieceEncoder:
         return self._lot(pa.array([text], pa.string()))[0].astype("<u4").tobytes()
 
 
+@kept_between_tasks
 @lru_cache(maxsize=2)
 def encoder(path: str) -> PieceEncoder:
-    """One encoder for each worker process, kept between tasks."""
+    """One encoder for each worker process, kept between tasks until one of another operator of the pipeline."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"

@@ -27,7 +27,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import lean, text_or_empty
 
 KINDS = ("assign", "access", "hex", "novel")
 MIN_ASSIGN, MIN_ACCESS, MIN_HEX = 6, 20, 24
@@ -205,5 +205,5 @@ def without_secrets(documents: DataFrame) -> DataFrame:
             texts = [None if t is None else redacted(t) for t in batch.column(at).to_pylist()]
             yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
 
-    out = documents.mapInArrow(run, documents.schema)
+    out = documents.mapInArrow(lean(run), documents.schema)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in documents.columns else out

@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import text_or_empty, written
+from .common import lean, text_or_empty, written
 from .components import connected_components
 from .golay import LENGTH, keys
 from .grouping import blocked, labels_of, sorted_groups, thinned
@@ -99,7 +99,7 @@ def sketches(documents: DataFrame, width: int = WIDTH) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns, pa.array(sets, pa.binary())], names=["doc_id", "digest", "node", "size", *_WORDS, "shingles"])
 
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("digest"), text_or_empty().alias("text"))
-    return docs.mapInArrow(run, ", ".join(f"{c} long" for c in ("doc_id", "digest", "node", "size", *_WORDS)) + ", shingles binary")
+    return docs.mapInArrow(lean(run), ", ".join(f"{c} long" for c in ("doc_id", "digest", "node", "size", *_WORDS)) + ", shingles binary")
 
 
 def near(sizes: np.ndarray, words: list[np.ndarray], similarity: float, max_bits: int) -> np.ndarray:
@@ -184,11 +184,11 @@ def near_links(classes: DataFrame, similarity: float = SIMILARITY, max_bits: int
     def thin(batches):
         yield from thinned((b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows)
 
-    members = classes.where("size > 0").select("node", "size", *_WORDS).mapInArrow(spread, ", ".join(f"{c} long" for c in ("key", "node", "size", *checked)))
+    members = classes.where("size > 0").select("node", "size", *_WORDS).mapInArrow(lean(spread), ", ".join(f"{c} long" for c in ("key", "node", "size", *checked)))
     dealt = blocked(members, "key", F.col("node"), block=BUCKET_BLOCK, few=True)
-    links = dealt.select("key", "b1", "b2", "node", "size", *checked).mapInArrow(compare, "u long, v long")
+    links = dealt.select("key", "b1", "b2", "node", "size", *checked).mapInArrow(lean(compare), "u long, v long")
     # Texts of a large group meet in many buckets under several least ones: the stars get few links of each.
-    return links.repartition("u").mapInArrow(thin, "u long, v long")
+    return links.repartition("u").mapInArrow(lean(thin), "u long, v long")
 
 
 def similar_links(groups: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -207,7 +207,7 @@ def similar_links(groups: DataFrame, sets: DataFrame, similarity: float = SIMILA
                 yield pa.RecordBatch.from_arrays([pa.array(nodes[linked]), pa.array(nodes[label[linked]])], names=["u", "v"])
 
     dealt = blocked(groups, "component", F.col("node"), block=BLOCK, attach=sets, on="node")
-    return dealt.select("component", "b1", "b2", "node", "shingles").mapInArrow(compare, "u long, v long")
+    return dealt.select("component", "b1", "b2", "node", "shingles").mapInArrow(lean(compare), "u long, v long")
 
 
 def without_similar(spark: SparkSession, documents: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:

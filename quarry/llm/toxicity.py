@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import free_name, text_or_empty
+from .common import free_name, lean, text_or_empty
 
 MAX_TOXIC, MAX_CLEAN = 1200, 2000
 WINDOW, STRIDE = 64, 32
@@ -376,7 +376,7 @@ def scored(documents: DataFrame, network: Network, name: str = "score") -> DataF
     from pyspark.sql.types import DoubleType, StructType
 
     schema = StructType([*documents.schema.fields]).add(name, DoubleType())
-    return documents.mapInArrow(run, schema)
+    return documents.mapInArrow(lean(run), schema)
 
 
 def without_toxic(documents: DataFrame, network: Network, least: float = 0.5) -> DataFrame:

@@ -413,6 +413,21 @@ def test_pipeline_drops_similar_texts(spark, monkeypatch):
     assert sorted(x["doc_id"] for x in kept.collect()) == sorted(set(label))
 
 
+def test_workers_keep_no_encoder_for_other_stages(spark):
+    """A stage without tokens drops the encoder and its cache, which a worker would else hold beside all later stages."""
+    import pyarrow as pa
+
+    class Documents:
+        select = lambda self, *columns: self
+        mapInArrow = lambda self, run, schema: run(iter([batch]))
+
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([3, 4]), pa.array(["a b c d e f", ""])], names=["doc_id", "digest", "text"])
+    encoding.encoder(encoding.default_vocabulary()).encode("some words")
+    assert encoding.encoder.cache_info().currsize
+    (out,) = similar.sketches(Documents())
+    assert out.column("size").to_pylist() == [2, 0] and not encoding.encoder.cache_info().currsize
+
+
 def test_similar_texts_share_golay_keys():
     r = np.random.default_rng(6)
     fps = r.integers(0, 1 << 63, (200, 4)).view(np.int64)
