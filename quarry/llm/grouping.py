@@ -13,18 +13,20 @@ from pyspark.sql import functions as F
 BLOCK_MEMBERS = 2048
 
 
-def blocked(members: DataFrame, key: str, member: Column, block: int = BLOCK_MEMBERS, attach: DataFrame | None = None, on: str | None = None, few: bool = False) -> DataFrame:
+def blocked(members: DataFrame, key: str, member: Column, block: int = BLOCK_MEMBERS, attach: DataFrame | None = None, on: str | None = None, few: bool = False, grown: bool = False) -> DataFrame:
     """Members of buckets that hold two or more, with the pair of blocks (b1, b2) in which they are compared, and their own block.
 
     ``attach``: a table joined on ``on`` to the members that remain, for columns too wide to deal out with every key.
     ``few``: there are few enough keys to send their sizes to every task, so the members are dealt only once.
+    ``grown``: a function made many members of each row of a smaller table. Spark takes them to be as few as those
+    rows, so it would send members or sizes to every task by way of the driver's memory; they are merged instead.
 
     A bucket of at most ``block`` members is one block. Of a larger one, n = ceil(size / block) blocks are
     made by a hash of the member, and a member goes to the n block pairs that hold its own block. Rows are
     dealt by (key, b1, b2) and sorted, so a task never needs more than two blocks at once, whatever the bucket.
     """
     sizes = members.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    sizes = F.broadcast(sizes) if few else sizes
+    sizes = F.broadcast(sizes) if few else sizes.hint("merge") if grown else sizes
     n = F.ceil(F.col("_n") / F.lit(block)).cast("int")
     own = F.pmod(F.xxhash64(member), n.cast("long")).cast("int")
     out = members.join(sizes, key).select(*members.columns, own.alias("_own"), F.explode(F.sequence(F.lit(0), n - 1)).alias("_other"))

@@ -126,7 +126,7 @@ def fingerprint_links(classes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_u)), pa.array(np.concatenate(out_v))], names=["u", "v"])
 
     members = classes.where("rep is not null").select("fp", "rep").mapInArrow(spread, "key long, fp long, rep long")
-    dealt = blocked(members, "key", F.col("fp")).select("key", "b1", "b2", "fp", "rep")
+    dealt = blocked(members, "key", F.col("fp"), grown=True).select("key", "b1", "b2", "fp", "rep")
     return dealt.mapInArrow(compare, "u long, v long")
 
 
@@ -136,7 +136,8 @@ def near_duplicates(spark: SparkSession, documents: DataFrame, width: int = 3, m
     classes = written(spark, fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
     groups = connected_components(spark, fingerprint_links(classes, max_bits))
     named = classes.join(groups, classes["rep"] == groups["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return fps.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    # Every fingerprint has its class; the outer join only bars Spark from sending the documents to every task.
+    return fps.join(named, "fp", "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def first_of_groups(documents: DataFrame, rows: DataFrame, groups: DataFrame) -> DataFrame:

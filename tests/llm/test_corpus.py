@@ -377,6 +377,19 @@ def test_simhash(spark, texts, docs, monkeypatch):
     assert simhash.near_duplicates(spark, empty(spark)).count() == 0
 
 
+def test_no_driver_memory_for_the_keys_of_fingerprints(spark, docs, tmp_path):
+    # Spark takes the keys, some 15 a fingerprint, to be as few as the fingerprints of the small file that they are made of.
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 1 << 62, 40).tolist()
+    spark.createDataFrame([(b ^ bits, 3 * k + n) for k, b in enumerate(base) for n, bits in enumerate((0, 5, 9))], "fp long, rep long").write.parquet(f"{tmp_path}/classes")
+    links = simhash.fingerprint_links(spark.read.parquet(f"{tmp_path}/classes"))
+    assert "Broadcast" not in links._jdf.queryExecution().executedPlan().toString()
+    group = collected(components.connected_components(spark, links), "node")
+    assert {k: r["component"] for k, r in group.items()} == {k: k - k % 3 for k in range(120)}
+    # Nor may the fingerprints of all documents be sent about.
+    assert "BuildLeft" not in simhash.near_duplicates(spark, docs)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_rows_of_one_id_stay_with_their_own_groups(spark):
     r = random.Random(3)
     a, b, c = (" ".join("".join(r.choice("abcdefghil") for _ in range(6)) for _ in range(40)) for _ in range(3))
