@@ -38,7 +38,8 @@ def seconds(ts: Column) -> Column:
 
 def from_seconds(s: Column) -> Column:
     """The time that many (decimal or double) seconds after 1970."""
-    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), s.cast("decimal(18,6)"))
+    # Named once, as modifiers nest it; make_dt_interval's decimal(18,6) would end in the year 33658.
+    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.expr("interval '1' second") * s.cast("decimal(20,6)")
 
 
 def _rounded(ts: Column) -> Column:
@@ -129,7 +130,9 @@ def _two(x: Column) -> Column:
 
 
 def _format(ts: Column, pattern: str) -> Column:
-    return F.date_format(ts, pattern)
+    """Text by a pattern; a year at its start is padded to four places, a minus included (Spark has +10000 and -0768)."""
+    out = F.date_format(ts, pattern)
+    return F.regexp_replace(out, "^[+]|(?<=^-)0", "") if pattern.startswith("yyyy") else out
 
 
 def _code(ts: Column, c: str) -> Column | None:

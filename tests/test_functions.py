@@ -77,6 +77,15 @@ def test_times(row, name, value, modifiers, want):
     assert call(row, name, value, modifiers=modifiers) == want
 
 
+def test_years_of_other_than_four_digits(row):
+    # 2440587.5 is 1970-01-01; a count of seconds in decimal(18,6) ends after 11,574,074 days.
+    for days, want in ((2932896, "9999-12-31"), (2932897, "10000-01-01"), (8999999, "26611-03-01"), (11574075, "33658-09-28"), (-719528, "0000-01-01"), (-719529, "-001-12-31"), (-1000000, "-768-02-04")):
+        assert call(row, "date", 2440587.5 + days) == call(row, "strftime", 2440587.5 + days, form="%F") == want
+        assert call(row, "datetime", 2440587.5 + days) == f"{want} 00:00:00" and call(row, "strftime", 2440587.5 + days, form="%Y") == want[:-6]
+    assert call(row, "datetime", "9999-12-31 23:59:59.7", modifiers=["+1 second", "subsec"]) == "10000-01-01 00:00:01.000"
+    assert call(row, "strftime", "not-a-date", form="%Y") is None and call(row, "strftime", "not-a-date", form="%g") is None
+
+
 def test_time_errors(row):
     with pytest.raises(InvalidOperation):
         call(row, "date", "2024-01-01", modifiers=["next week"])
